@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from ..session import importable
+from . import packing, pii, pii_sql, shingle_join, token_counts, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_docs(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(_docs(spark, sf_dir))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.with_spans(_docs(spark, sf_dir)))
+
+
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link(_docs(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
+    "op3_token_counts": op3_token_counts,
+    "op8_personal_data": op8_personal_data,
+    "op10_shingle_join": op10_shingle_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_personal_data": pii_sql.sql()}
