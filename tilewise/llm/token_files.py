@@ -50,8 +50,8 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
 
 
-def encoded(docs: DataFrame, dictionary: bytes, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, frame, text_hash) of each document of `docs` (doc_id, text)."""
+def encoded(docs: DataFrame, dictionary: bytes, bounds: list[int], end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, frame, text_hash, shard) of each document of `docs` (doc_id, text). A shard begins above each bound."""
     path = path or tokens.tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,16 +59,17 @@ def encoded(docs: DataFrame, dictionary: bytes, end_id: int = END_ID, path: str
 
         enc, squeeze = tokens.encoder(path), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
         for batch in batches:
+            shard = np.searchsorted(np.array(bounds, np.int64), batch.column(0).to_numpy(), side="left").astype(np.int32)
             for first, texts in tokens.chunks(batch.column(1)):
                 ids, sizes = enc.encode(texts)
                 ends = np.cumsum(sizes)
                 flat, sizes = np.insert(ids, ends, np.uint32(end_id)).astype("<u4"), sizes + 1
                 starts = np.cumsum(sizes) - sizes
                 frames = [squeeze.compress(flat[a : a + n].data) for a, n in zip(starts, sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes), pa.array(frames, pa.binary()), batch.column(2).slice(first, len(texts))], names=["doc_id", "n_tokens", "frame", "text_hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes), pa.array(frames, pa.binary()), batch.column(2).slice(first, len(texts)), pa.array(shard[first : first + len(texts)])], names=["doc_id", "n_tokens", "frame", "text_hash", "shard"])
 
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, frame binary, text_hash long")
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, frame binary, text_hash long, shard int")
 
 
 def _dictionary(raw: bytes):
@@ -97,11 +98,13 @@ def train(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> byt
 def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None, shards: int | None = None) -> DataFrame:
     """Writes `docs` to `folder` and returns the shards: shard, file, n_docs, n_tokens, bytes."""
     raw = train(docs, end_id, path)
-    frames = encoded(docs, raw, end_id, path)
     if shards is None:
-        # about 1.2 bytes of frame for each character, from the sample's experience; only the size of shards hangs on it
         size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, size // SHARD_BYTES, min(32, size >> 22))
+    # quantiles of the ids alone: a range shuffle would tokenise everything a second time to find them
+    steps = [k / shards for k in range(1, shards)]
+    bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", steps, 0.1 / shards)}) if steps else []
+    frames = encoded(docs, raw, bounds, end_id, path)
     store, at = filesystem(folder)
     store.create_dir(at, recursive=True)
     with store.open_output_stream(f"{at}/dictionary.zdict") as out:
@@ -136,7 +139,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
         values = [[shard], [f"{folder}/{name}"], [len(table)], [int(table[:, 2].sum())], [end + table.nbytes + len(trailer) + 4]]
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["shard", "file", "n_docs", "n_tokens", "bytes"])
 
-    dealt = frames.repartitionByRange(shards, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    dealt = frames.repartitionById(len(bounds) + 1, F.col("shard")).drop("shard").sortWithinPartitions("doc_id", "text_hash")
     return written(dealt.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long, bytes long"), "shards")
 
 

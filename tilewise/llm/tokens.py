@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 1_500_000
+MAX_WORDS = 700_000
 #: Bytes of text that are split into words at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _JOINED = 256
 #: What Python and Arrow call white space and the tokenizer doesn't, and what may hold a special token.
 _WHOLE = r"[\x1c-\x1f]|<\|"
@@ -66,8 +66,8 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -119,7 +119,7 @@ class WordEncoder:
             self._keep(plain, *self._joined(plain))
         if ended:
             pairs = np.array([(known[w[:-1]], known[w[-1]]) for w in ended], np.int64).ravel()
-            sizes = self.lengths[pairs]
+            sizes = self.lengths[pairs].astype(np.int64)
             self._keep(ended, self._gather(pairs, sizes), sizes.reshape(-1, 2).sum(axis=1))
 
     def _gather(self, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ class WordEncoder:
             self._learn(new)
         table = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         index = table[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, np.int64)
-        sizes = self.lengths[index]
+        sizes = self.lengths[index].astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(split.offsets)]
         return self._gather(index, sizes), np.diff(edges)
 
