@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import importable
-from . import packing, pii, pii_sql, shingle_join, token_counts, token_files
+from . import decontaminate, language, neighbours, packing, pii, pii_sql, sharding, shingle_join, token_counts, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(_docs(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_docs(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.with_spans(_docs(spark, sf_dir)))
 
@@ -38,8 +55,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op7_extendible_sharding": op7_extendible_sharding,
     "op8_personal_data": op8_personal_data,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_shingle_join": op10_shingle_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_personal_data": pii_sql.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op7_extendible_sharding": sharding.sql(),
+    "op8_personal_data": pii_sql.sql(),
+}
