@@ -38,6 +38,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SKETCH = 8  # 64-bit words
 #: Up to as many ids are sent to every executor (8 bytes each); beyond that texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Signatures that one task brings together, about.
+PART = 1_000_000
 
 
 def shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -102,29 +104,101 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(found)[order], np.bincount(np.concatenate(owners), minlength=len(sizes))
 
 
-def described(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, s0.., signatures) of each (doc_id, set)."""
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all sets, sizes, and the set of each value."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    return values, sizes, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _prints(values: np.ndarray, set_of: np.ndarray, n: int) -> list[np.ndarray]:
+    return [_sums(set_of, _mix(values, seed), n) for seed in (0x1234567, 0x7654321)]
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def described(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, fp1, fp2, s0..) of each (doc_id, set): size, fingerprints and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                lists = batch.column(1)
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-                set_of = np.repeat(np.arange(len(sizes)), sizes)
-                prints = [_sums(set_of, _mix(values, seed), len(sizes)) for seed in (0x1234567, 0x7654321)]
+            for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                values, sizes, set_of = _flat(batch.column(1))
                 h = _mix(values, 0x0DD)
                 bits = np.zeros((len(sizes), SKETCH), np.uint64)
                 np.bitwise_xor.at(bits, (set_of, (h >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (h & np.uint64(63)))
-                sigs, counts = signatures(values, sizes, percent)
-                edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-                out = [batch.column(0), pa.array(sizes), *map(long, prints), *(long(bits[:, j]) for j in range(SKETCH)), pa.ListArray.from_arrays(pa.array(edges), long(sigs))]
+                out = [batch.column(0), pa.array(sizes), *map(_long, _prints(values, set_of, len(sizes))), *(_long(bits[:, j]) for j in range(SKETCH))]
                 yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
 
-    sketch = ", ".join(f"s{j} long" for j in range(SKETCH))
-    return sets.mapInArrow(run, f"doc_id long, n long, fp1 long, fp2 long, {sketch}, signatures array<long>")
+    return sets.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, " + ", ".join(f"s{j} long" for j in range(SKETCH)))
+
+
+def shared_signatures(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(sig, v, least): the signatures that several vertices have, with each of these; a vertex is a set's first fingerprint,
+    least one of the vertices of the signature. Rows may repeat.
+
+    Signatures travel packed, some thousands in a row. Those that meet within one batch of sets are told apart before the
+    shuffle: then only one of their vertices goes on, so that a signature of very many sets is no large group."""
+
+    def chunk(p: int, kind: int, *arrays: np.ndarray) -> tuple:
+        return p, kind, *(x.tobytes() for x in arrays)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
+                values, sizes, set_of = _flat(batch.column(1))
+                v = _prints(values, set_of, len(sizes))[0]
+                kept = np.flatnonzero(np.isin(np.arange(len(v)), np.unique(v, return_index=True)[1]) & (sizes > 0))
+                if not len(kept):
+                    continue
+                some = np.isin(set_of, kept)
+                sigs, counts = signatures(values[some], sizes[kept], percent)
+                owner = np.repeat(v[kept], counts)
+                order = np.lexsort((owner, sigs))
+                sigs, owner = sigs[order], owner[order]
+                fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (owner[1:] != owner[:-1])])
+                sigs, owner = sigs[fresh], owner[fresh]
+                heads = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+                n = np.diff(np.append(heads, len(sigs)))
+                met = np.repeat(n > 1, n)
+                rows = []
+                if met.any():
+                    p = int(sigs[met][0] % np.uint64(parts))
+                    rows.append(chunk(p, 1, sigs[met], owner[met], np.repeat(owner[heads], n)[met]))
+                sigs, owner = sigs[heads], owner[heads]
+                part = (sigs % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                rows += [chunk(int(p), 0, sigs[order[lo:hi]], owner[order[lo:hi]], owner[:0]) for p, lo, hi in zip(range(parts), edges[:-1], edges[1:]) if hi > lo]
+                p, kind, *data = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], names=["p", "kind", "sigs", "vs", "leasts"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, vs = [], []
+        rows = lambda *xs: pa.RecordBatch.from_arrays(list(map(_long, xs)), names=["sig", "v", "least"])
+        for batch in batches:
+            for kind, *data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                sig, v, least = (np.frombuffer(x, np.uint64) for x in data)
+                if kind:
+                    yield rows(sig, v, least)
+                else:
+                    sigs.append(sig)
+                    vs.append(v)
+        if sigs:
+            sig, v = np.concatenate(sigs), np.concatenate(vs)
+            order = np.lexsort((v, sig))
+            sig, v = sig[order], v[order]
+            heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            n = np.diff(np.append(heads, len(sig)))
+            several = np.repeat(v[heads] != v[heads + n - 1], n)
+            if several.any():
+                least = np.repeat(v[heads], n)[several]
+                yield rows(sig[several], v[several], least)
+
+    packed = sets.mapInArrow(send, "p int, kind int, sigs binary, vs binary, leasts binary")
+    return packed.repartitionById(parts, F.col("p")).mapInArrow(meet, "sig long, v long, least long")
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -148,26 +222,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Each row of `docs` (doc_id, text): doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id
     (smallest doc_id reachable by links of similar sets)."""
-    every = written(described(shingles(docs, words), percent), "sets")
-    classes = written(every.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
-    key = ["n", "fp1", "fp2"]
-    sketch = [f"s{j}" for j in range(SKETCH)]
-    # one row stands for each class
-    stands = every.where("n > 0").join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *key], "left_semi")
-    stands = stands.select("doc_id", "n", *sketch, "signatures")
-    stands = written(stands, "representatives")
-    signed = stands.select(F.col("doc_id").alias("v"), "n", F.explode("signatures").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most")
-    buckets = written(signed.join(shared.select("sig", "least"), "sig").select("sig", "v", "n", "least"), "buckets")
+    sets = shingles(docs, words)
+    every = written(described(sets), "sets")
+    key, sketch = ["n", "fp1", "fp2"], [f"s{j}" for j in range(SKETCH)]
+    classes = every.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), *(F.first(s).alias(s) for s in sketch))
+    classes = written(classes, "classes")
+    shingled = every.agg(F.sum("n")).first()[0] or 0
+    parts = max(64, int(shingled * 3 * (100 - percent) / (100 + percent)) // PART)
+    buckets = written(shared_signatures(sets, percent, parts), "buckets")
+    vertex = lambda v, name: classes.where("class_id IS NOT NULL").select(F.col("fp1").alias(v), F.col("class_id").alias(name))
 
     def near(a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    first = buckets.where("v <> least").groupBy(F.col("v").alias("b")).agg(F.min("least").alias("a"))
-    links = _verified(first.select("a", "b"), docs, words, percent)
-    joined = components(links)
-    placed = buckets.join(joined.withColumnRenamed("node", "v"), "v", "left").select("sig", "v", "n", F.coalesce("component", "v").alias("part"))
-    placed = placed.join(stands.select(F.col("doc_id").alias("v"), *sketch), "v")
+    first = buckets.where("v <> least").groupBy("v").agg(F.min("least").alias("least"))
+    first = first.join(vertex("v", "a"), "v").join(vertex("least", "b"), "least").where("a <> b").select("a", "b").distinct()
+    links = _verified(first, docs, words, percent)
+    labels = components(links).select(F.col("node").alias("class_id"), "component")
+    parted = classes.where("class_id IS NOT NULL").join(labels, "class_id", "left")
+    parted = parted.select(F.col("fp1").alias("v"), F.col("class_id").alias("doc"), "n", F.coalesce("component", "class_id").alias("part"), *sketch)
+    placed = buckets.select("sig", "v").distinct().join(parted, "v").drop("v").withColumnRenamed("doc", "v")
     mixed = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
     a, b = (open_.select("sig", *(F.col(c).alias(f"{x}_{c}") for c in open_.columns if c != "sig")) for x in "ab")
@@ -177,7 +251,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     pairs = a.withColumnRenamed("sig", "sig_a").join(b, (F.col("sig_a") == F.col("sig")) & rule).select(F.col("a_v").alias("a"), F.col("b_v").alias("b")).distinct()
     more = _verified(pairs, docs, words, percent)
     final = components(links.union(more))
-    named = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = classes.select(*key, "class_id").join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     named = written(named, "named")
     some = every.where("n > 0").select("doc_id", *key).join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     none = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
