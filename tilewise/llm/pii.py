@@ -172,3 +172,12 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = ("email", "iban", "card", "
         return df.withColumn(text, F.when(F.col("__pii_p").isNotNull(), F.array_join(F.transform("__pii_p", cover), "")).otherwise(t))
 
     return reduce(masked, kinds, docs).select(*docs.columns)
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """As `redact`; a column n_chars, where there is one, follows the text."""
+    done = redact(docs)
+    if "n_chars" not in docs.columns:
+        return done
+    kind = docs.schema["n_chars"].dataType
+    return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
