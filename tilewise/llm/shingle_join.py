@@ -2,10 +2,11 @@
 
 A document's set is the hashes of its distinct shingles. Sets of equal size bands can be similar
 only to sets of their own and the next band. For a band with largest size r, two sets that reach
-the threshold differ in at most k = 2 r (1 - t) / (1 + t) elements. The domain is cut into
-n1 = ceil((k + 1) / 2) parts; in one of them the sets differ in at most one element, so if that
-part is cut into n2 smaller ones, all but one of these are equal: each set gets a signature for
-every part and every choice of n2 - 1 of its n2 smaller parts, and similar sets share at least one.
+the threshold differ in at most k = 2 r (1 - t) / (1 + t) elements. The domain is cut into n1 parts
+and each part into n2 = 2 smaller ones, with n1 * n2 about 1.2 (k + 1); a signature stands for a part
+without one of its two smaller ones. Similar sets have at least n1 * n2 - k of these alike. So each
+set needs only its k + 1 fullest: the fullest of those that two similar sets have alike is among
+the k + 1 fullest of both, and no signature of an empty part brings strangers together.
 
 Equal sets are one vertex from the start (the smallest doc_id stands for them). Signatures that
 several vertices share are buckets. First each vertex is checked against the smallest vertex of its
@@ -35,7 +36,7 @@ from .storage import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
-SKETCH = 8  # 64-bit words
+SKETCH = 16  # 64-bit words
 #: Up to as many ids are sent to every executor (8 bytes each); beyond that texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Signatures that one task brings together, about.
@@ -81,25 +82,23 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     first, _, differ = bands(percent, int(sizes.max(initial=1)) * 100 // percent + 1)
     band = np.maximum(np.searchsorted(first, sizes, side="right") - 1, 0)
     set_of = np.repeat(np.arange(len(sizes)), sizes)
+    hashed = _mix(values, 0x51ED27)
     owners, found = [], []
     for step in (0, 1):
         at = band + step
         k = differ[at]
-        n1 = (k + 2) // 2  # ceil((k + 1) / 2)
-        n2 = np.where(k == 0, 1, np.where(k < 7, 3, 2))
-        slots = np.where(sizes > 0, n1 * n2, 0)
+        slots = np.where(sizes > 0, np.where(k == 0, 1, 2 * ((6 * (k + 1) + 9) // 10)), 0)  # two of each part
         base = np.cumsum(slots) - slots
-        hashed = _mix(values, 0x51ED27 + 977)
         place = base[set_of] + (_mix(hashed + at[set_of].astype(np.uint64), 0xA5A5) % slots[set_of].astype(np.uint64)).astype(np.int64)
-        small = _sums(place, hashed, int(slots.sum()))
         owner = np.repeat(np.arange(len(sizes)), slots)
-        slot = np.arange(len(small)) - base[owner]
-        part = base[owner] // 1 + slot // n2[owner]  # a number for the part, unique within the batch
-        whole = _sums(part, small, int(slots.sum()) + 1)
-        rest = np.where(n2[owner] > 1, whole[part] - small, small)
-        label = (at[owner].astype(np.uint64) << np.uint64(40)) + slot.astype(np.uint64)
-        found.append(_mix(rest + _mix(label, 0xBEEF), 0x77))
-        owners.append(owner)
+        label = (at[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64)
+        sig = _mix(_sums(place, hashed, len(owner)) + _mix(label, 0xBEEF), 0x77)
+        filled = np.minimum(np.bincount(place, minlength=len(owner)), 255).astype(np.uint64)
+        # of each set the k + 1 fullest, ties by the signature: what equal small parts decide alike
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | ((np.uint64(255) - filled) << np.uint64(40)) | (sig >> np.uint64(24)), kind="stable")
+        kept = order[np.arange(len(owner)) - base[owner] <= k[owner]]
+        found.append(sig[kept])
+        owners.append(owner[kept])
     order = np.argsort(np.concatenate(owners), kind="stable")
     return np.concatenate(found)[order], np.bincount(np.concatenate(owners), minlength=len(sizes))
 
@@ -230,25 +229,27 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shingled = every.agg(F.sum("n")).first()[0] or 0
     parts = max(64, int(shingled * 3 * (100 - percent) / (100 + percent)) // PART)
     buckets = written(shared_signatures(sets, percent, parts), "buckets")
-    vertex = lambda v, name: classes.where("class_id IS NOT NULL").select(F.col("fp1").alias(v), F.col("class_id").alias(name))
+    known = classes.where("class_id IS NOT NULL")
 
-    def near(a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    def side(x: str) -> DataFrame:
+        return known.select(F.col("fp1").alias(f"{x}_v"), F.col("class_id").alias(x), F.col("n").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in sketch))
 
-    first = buckets.where("v <> least").groupBy("v").agg(F.min("least").alias("least"))
-    first = first.join(vertex("v", "a"), "v").join(vertex("least", "b"), "least").where("a <> b").select("a", "b").distinct()
+    # what sizes and sketches leave possible
+    bits = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
+    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    possible = near & (bits * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+
+    first = buckets.where("v <> least").groupBy(F.col("v").alias("a_v")).agg(F.min("least").alias("b_v"))
+    first = first.join(side("a"), "a_v").join(side("b"), "b_v").where(possible & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     links = _verified(first, docs, words, percent)
     labels = components(links).select(F.col("node").alias("class_id"), "component")
-    parted = classes.where("class_id IS NOT NULL").join(labels, "class_id", "left")
-    parted = parted.select(F.col("fp1").alias("v"), F.col("class_id").alias("doc"), "n", F.coalesce("component", "class_id").alias("part"), *sketch)
-    placed = buckets.select("sig", "v").distinct().join(parted, "v").drop("v").withColumnRenamed("doc", "v")
+    part_of = known.select("class_id", F.col("fp1").alias("v")).join(labels, "class_id", "left").select("v", F.coalesce("component", "class_id").alias("part"))
+    placed = written(buckets.select("sig", "v").distinct().join(part_of, "v"), "placed")
     mixed = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
-    a, b = (open_.select("sig", *(F.col(c).alias(f"{x}_{c}") for c in open_.columns if c != "sig")) for x in "ab")
-    bits = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
-    differ = (F.col("a_n") + F.col("b_n")) * (100 - percent)  # hamming distance * (100 + percent) at most
-    rule = (F.col("a_v") < F.col("b_v")) & (F.col("a_part") != F.col("b_part")) & near(F.col("a_n"), F.col("b_n")) & (bits * (100 + percent) <= differ)
-    pairs = a.withColumnRenamed("sig", "sig_a").join(b, (F.col("sig_a") == F.col("sig")) & rule).select(F.col("a_v").alias("a"), F.col("b_v").alias("b")).distinct()
+    a, b = (open_.select(F.col("sig").alias(f"{x}_sig"), F.col("v").alias(f"{x}_v"), F.col("part").alias(f"{x}_part")).join(side(x), f"{x}_v") for x in "ab")
+    rule = (F.col("a_sig") == F.col("b_sig")) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & possible
+    pairs = a.join(b, rule).select("a", "b").distinct()
     more = _verified(pairs, docs, words, percent)
     final = components(links.union(more))
     named = classes.select(*key, "class_id").join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
