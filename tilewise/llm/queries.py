@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import decontaminate, language, neighbours, packing, pii, pii_sql, sharding, shingle_join, token_counts, token_files
+from . import decontaminate, language, licences, neighbours, packing, pii, pii_sql, sharding, shingle_join, token_counts, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find(_docs(spark, sf_dir))
+
+
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_licence_scan": op6_licence_scan,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_personal_data": op8_personal_data,
     "op9_nearest_neighbours": op9_nearest_neighbours,
