@@ -112,4 +112,5 @@ def document_counts(docs: DataFrame, folder: str | None = None, end_id: int = EN
     """Writes `docs` as flat files and counts their documents' tokens by scanning them: doc_id, n_tokens, start, terminated."""
     wrote = flat_files(docs, folder or new_path(docs.sparkSession, "flat"), end_id, path)
     files = wrote.groupBy("file").agg(F.max("bytes").alias("bytes"))
-    return wrote.select("file", "number", "doc_id").join(scan(files, end_id, 2, block_bytes), ["file", "number"]).select("doc_id", "n_tokens", "start", "terminated")
+    # written ids compress so well that the size of their files would suggest a broadcast
+    return wrote.select("file", "number", "doc_id").hint("merge").join(scan(files, end_id, 2, block_bytes), ["file", "number"]).select("doc_id", "n_tokens", "start", "terminated")
