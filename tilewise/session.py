@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +18,20 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     return spark
+
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests on one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}")
+        found = _own[0]
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
