@@ -32,7 +32,7 @@ from . import tokens
 
 UNKNOWN = "und"
 SAMPLE_CHARS, ROUNDS, SMOOTHING = 2_000_000, 3, 0.01
-MAX_WORDS = 700_000
+MAX_WORDS = 300_000
 #: A document that is kept has at least this score.
 LEAST_SCORE = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -208,14 +208,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return tokens.held(("scorer", model.key), lambda: Scorer(model))
 
 
 def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:

@@ -10,13 +10,13 @@ library whole. Null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 700_000
+MAX_WORDS = 500_000
 #: Bytes of text that are split into words at a time.
 CHUNK_BYTES = 4 << 20
 _JOINED = 256
@@ -26,7 +26,7 @@ _WHOLE = r"[\x1c-\x1f]|<\|"
 _BEYOND = r"[^\x00-\xff]"
 _MARK = "\x01"
 
-_encoders: dict[str, WordEncoder] = {}
+_held: dict[tuple, object] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,9 +38,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def encoder(path: str | None = None) -> WordEncoder:
     """The worker's encoder for one vocabulary file; made once for each Python process."""
     path = path or tokenizer_path()
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
+
+
+def held(key: tuple, make: Callable):
+    """What a worker keeps between tasks: one thing at a time, so that stages one after another don't fill its memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
