@@ -167,7 +167,7 @@ class Scorer:
         logs = np.zeros((len(flat), len(self.model.languages)))
         order = sorted(range(len(flat)), key=lambda i: len(flat[i]))
         k = 0
-        while k < len(order):
+        while k < len(order) and self.model.languages:
             n = max(1, min(20_000, 2_000_000 // (len(flat[order[k]]) + 8)))
             while n > 1 and len(flat[order[min(k + n, len(order)) - 1]]) * n > 4_000_000:
                 n //= 2

@@ -110,8 +110,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "embedding") -> DataFrame:
-    """The k nearest found of every row of `vectors` (vec_id, embedding) where `is_query` (of vec_id) holds, among all others:
-    query_id, rank, vec_id, score."""
+    """The k nearest found of every row of `vectors` (vec_id, embedding) where `is_query` (of F.col("vec_id")) holds, among all
+    others: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(vectors, column)
