@@ -43,7 +43,8 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
         sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
-        leaf = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
+        # levels are many times the written cells, whose files' size would suggest a broadcast
+        leaf = levels.hint("merge").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
         leaf = written(leaf.select("cell", F.lit(depth).alias("cell_depth"), "leaf.*"), "leaves")
         found = leaf if found is None else found.union(leaf)
         if depth == BITS:
