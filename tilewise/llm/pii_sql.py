@@ -19,7 +19,7 @@ def sql() -> str:
     )
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     byte = "(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-    return f"""
+    return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
 found AS ({found}),
 single AS (
