@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -30,3 +31,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """At most `most` rows of `df`, which has about `rows`: those with the smallest hashes of `key`. A threshold on the hash
+    comes first, so that all partitions together send about twice as many rows to the driver, however many there are."""
+    of = 1 << 40
+    share = min(of, 2 * most * of // max(1, rows) + 1)
+    few = df.where(F.pmod(F.xxhash64(key), F.lit(of)) < share) if share < of else df
+    return few.orderBy(F.pmod(F.xxhash64(key), F.lit(of)), key).limit(most)
