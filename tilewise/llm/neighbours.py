@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import written
+from .storage import sampled, written
 
 TRAIN, GOAL, PARTS, WORDS, RERANK = 20_000, 0.97, 16, 256, 64
 BLOCK_LEAST, BLOCK_MOST = 256, 4096
@@ -116,9 +116,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(vectors, column)
     rows = good.count()
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN).toArrow()["v"]
     if rows == 0:
         return spark.createDataFrame([], schema)
+    sample = sampled(good, "vec_id", TRAIN, rows).toArrow()["v"]
     model = Model(_matrix(sample.combine_chunks() if isinstance(sample, pa.ChunkedArray) else sample), rows, k)
     shared = spark.sparkContext.broadcast(model)  # at most TRAIN / 8 centroids and 16 * 256 code words
 
