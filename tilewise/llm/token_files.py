@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .storage import new_path, written
+from .storage import new_path, sampled, written
 
 END_ID = 2
 MAGIC = b"ZTOKIDS1"
@@ -82,9 +82,8 @@ def train(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> byt
     """A zstandard dictionary from serialised ids of a bounded sample; empty bytes where the sample is too small for one."""
     import zstandard
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # top k: no full sort
-    ids = [r["doc_id"] for r in chosen.collect() if r["doc_id"] is not None]
-    texts = docs.where(F.col("doc_id").isin(ids)).select(F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {4 * SAMPLE_IDS}), {8 * SAMPLE_IDS})").alias("t")).limit(SAMPLE_DOCS)
+    middle_of = F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {4 * SAMPLE_IDS}), {8 * SAMPLE_IDS})")
+    texts = sampled(docs.select("doc_id", middle_of.alias("t")), "doc_id", SAMPLE_DOCS, docs.count())
     samples = []
     for one in tokens.encode_lists([r["t"] for r in texts.collect()], path):
         middle = max(0, (len(one) - SAMPLE_IDS) // 2)
