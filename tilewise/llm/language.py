@@ -32,7 +32,7 @@ from . import tokens
 
 UNKNOWN = "und"
 SAMPLE_CHARS, ROUNDS, SMOOTHING = 2_000_000, 3, 0.01
-MAX_WORDS = 300_000
+MAX_WORDS = 700_000
 #: A document that is kept has at least this score.
 LEAST_SCORE = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
