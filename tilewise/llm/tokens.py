@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 500_000
+MAX_WORDS = 700_000
 #: Bytes of text that are split into words at a time.
 CHUNK_BYTES = 4 << 20
 _JOINED = 256
