@@ -219,6 +219,25 @@ def test_licences_against_a_plain_form(docs):
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.find(docs, model).collect()} == want
 
 
+@pytest.mark.parametrize("family,at", [("MIT", 2), ("Unlicense", 1)])
+def test_licences_that_the_sample_holds(spark, family, at):
+    notice = licences.TEMPLATES[family][at]
+    frame = spark.createDataFrame([(i, notice if i % 2 else f"some plain words of text {i}") for i in range(60)], "doc_id long, text string")
+    got = licences.find(frame).collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == [(i, family) for i in range(1, 60, 2)]
+
+
+def test_every_likely_text_holds_a_seed():
+    model, rng = licences.fit(["some plain words"]), random.Random(6)
+    pattern = re.compile(licences._any_pair(model.seeds))
+    for t in itertools.chain(*licences.TEMPLATES.values()):
+        own = licences.words(t)
+        for _ in range(200):
+            text = " -\n ".join(w for w in own if rng.random() > 0.25)
+            if len(licences.pairs(licences.words(text)) & licences.pairs(own)) >= licences.LEAST_LIKENESS * len(licences.pairs(own)):
+                assert pattern.search(text)
+
+
 def test_shards(spark, docs, odd, none):
     for frame, limit in ((docs, 20_000), (odd, 500)):
         con = duckdb.connect()
