@@ -123,6 +123,16 @@ def test_separator_scan(odd, none, block):
     assert token_counts.document_counts(none).count() == 0
 
 
+def test_special_tokens_in_texts(spark):
+    texts = ["one", "two <|endoftext|> three", "<|endoftext|>", "four five six", "<|startoftext|> seven", None, "eight"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert 49407 in ids(texts[1])
+    rows = token_counts.document_counts(frame).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["terminated"]) for r in rows) == [(i, len(ids(t)), True) for i, t in enumerate(texts)]
+    with pytest.raises(Exception, match="end-of-document id 49407"):
+        token_counts.document_counts(frame, end_id=49407)
+
+
 @settings(deadline=None, max_examples=8)
 @given(st.lists(st.integers(0, 3), max_size=40), st.sampled_from([2, 6, 64]))
 def test_scan_of_any_file(spark, numbers, block):

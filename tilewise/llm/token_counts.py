@@ -10,7 +10,8 @@ ago. A second pass gives each document where its separator lies.
 Defined cases: ids after a file's last separator are one more document with terminated = false;
 two separators side by side hold an empty document (0 tokens); an empty file has no rows. For
 `flat_files`: null text is an empty document, an empty table gives no files, repeated doc_ids are
-separate documents, extra columns are ignored.
+separate documents, extra columns are ignored, and a text with the end-of-document id among its ids
+is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .storage import new_path, written
 from .token_files import filesystem
 
 BLOCK_BYTES = 4 << 20
-END_ID = 49407
+#: No text has this id: the vocabulary ends at 49407, its own special token, which texts can hold.
+END_ID = 0xFFFF
 
 
 def flat_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -51,6 +53,8 @@ def flat_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
                 ids, sizes = enc.encode(texts)
                 if len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("this vocabulary needs 32-bit ids")
+                if (ids == end_id).any():
+                    raise ValueError(f"a text holds the end-of-document id {end_id}")
                 out = out or store.open_output_stream(own)
                 flat = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u2")
                 out.write(flat.data)
