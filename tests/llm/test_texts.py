@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -227,6 +228,22 @@ def test_licences_that_the_sample_holds(spark, family, at):
     assert sorted((r["doc_id"], r["family"]) for r in got) == [(i, family) for i in range(1, 60, 2)]
 
 
+def test_licences_over_and_within_lines(spark):
+    model = licences.fit(["some plain words of a text", "and other words, by the same"])
+    long = [(k, t) for k, ts in licences.TEMPLATES.items() for t in ts if len(t) > 100]
+    rows, want = [], []
+    for family, t in long:
+        for width in (76, 40):
+            lines = textwrap.wrap(t, width)
+            want.append((len(rows), 2 if (family, width) == ("LGPL", 76) else 1, family))  # its second line is a notice by itself
+            rows.append((len(rows), "\n".join(["# a header", *("# " + x for x in lines), "#", "code = 1"])))
+    want += [(100, 0, "Apache-2.0"), (100, 0, "BSD"), (100, 0, "MIT"), (101, 0, "CC-BY"), (101, 0, "MIT")]
+    rows.append((100, " ".join(["filler words"] * 50 + [licences.TEMPLATES["MIT"][2], "and so on", licences.TEMPLATES["BSD"][0], "more"] + ["filler words"] * 50 + [licences.TEMPLATES["Apache-2.0"][1]])))
+    rows.append((101, "Released under the MIT License. This work is licensed under a Creative Commons Attribution 4.0 International License."))
+    got = licences.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == want
+
+
 def test_every_likely_text_holds_a_seed():
     model, rng = licences.fit(["some plain words"]), random.Random(6)
     pattern = re.compile(licences._any_pair(model.seeds))
