@@ -25,11 +25,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df`, written once as Parquet to the shared folder and read again. Later steps, retries and lost executors read
-    those files and don't run what made them again."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """`df`, written once as Parquet to the shared folder and read again, in a folder for each value of the columns `by`. Later
+    steps, retries and lost executors read those files and don't run what made them again."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
