@@ -70,21 +70,42 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """The value of each byte of a word, A-Z as a-z and white space 0, and which bytes are white space."""
+    byte = np.arange(256)
+    space = (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
+    lower = np.where((byte >= ord("A")) & (byte <= ord("Z")), byte + 32, byte)
+    return np.where(space, np.uint64(0), _mix(lower.astype(np.uint64), 0xB17E)), space
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, A-Z in lower case, of each text, and how many words each text has. The hash is the sum of the
+    bytes' values, each times a factor of its place in the word."""
+    texts = pc.fill_null(texts, "")
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    values, space = _signs()
+    blank = space[data]
+    begins = ~blank
+    inner = begins[1:] & ~blank[:-1]  # goes on from the byte before
+    cut = edges[(edges > 0) & (edges < len(data))]
+    inner[cut - 1] = False
+    begins[1:] &= ~inner
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    sizes = np.diff(np.append(starts, len(data)))
+    factors = _mix(np.arange(int(sizes.max())).astype(np.uint64), 0xFAC7) | np.uint64(1)
+    place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], sizes)
+    sums = np.add.reduceat(values[data[starts[0] :]] * factors[place], starts - starts[0])
+    return _mix(sums, 0x3A5E), np.diff(np.searchsorted(starts, edges))
+
+
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct word shingles of each text, one text after another, and how many each has. At most 65536 texts."""
-    import xxhash
-
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    coded = split.values.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, names)), ">u8").astype(np.uint64)
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(split.offsets)))
-    if "" in names:  # what stands beside white space at a text's ends
-        some = index != names.index("")
-        index, owner = index[some], owner[some]
-    count = np.bincount(owner, minlength=len(texts))
-    word, ends = hashes[index], np.cumsum(count)
+    word, count = words_of(texts)
+    owner, ends = np.repeat(np.arange(len(texts)), count), np.cumsum(count)
     factors = [_mix(np.array([j + 1], np.uint64), 0x5EED) | np.uint64(1) for j in range(words)]
     rolled = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for j, f in enumerate(factors):
@@ -445,7 +466,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         pairs = written(pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, sets, percent)
         seen, links = seen.union(pairs), links.union(more)
-        labels = components(links)
+        if not more.isEmpty():
+            labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").select(*key, "class_id", F.coalesce("component", "fp1").alias("part"))
     least = written(named.groupBy("part").agg(F.min("class_id").alias("component_id")), "least")
     named = written(named.join(least, "part").select(*key, "class_id", "component_id"), "named")
