@@ -6,9 +6,11 @@ import textwrap
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tilewise.llm.words import Words
 from tilewise.llm import components, decontaminate, language, licences, neighbours, pii, pii_sql, sharding, shingle_join
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +56,44 @@ def test_languages_of_odd_rows(spark, docs, odd, none):
     assert {r["lang_pred"] for r in bare} == {"und"}
 
 
+def test_number_signs_are_no_letters(spark, docs):
+    texts = ["½ ² Ⅷ", "①②", "٣٤٥ 123", "½ the house and the garden", "日本"]
+    frame = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string, score double")
+    got = language.predict(frame, language.train(docs), names=("lang_pred", "own")).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and [r["own"] for r in got[:3]] == [0.0] * 3
+    assert got[3]["lang_pred"] != "und" and got[4]["lang_pred"] != "und" and got[0]["a.b"] == "en" and got[0]["score"] == 0.5
+
+
+def test_predictions_against_brute_force(spark):
+    """A small model: pieces' probabilities summed over all segmentations of each run of letters."""
+    model = language.fit({"de": {"das": 5, "haus": 3, "und": 4}, "en": {"the": 6, "house": 3, "and": 4}, "xx": {"zzz": 1}})
+    number = {p: i for i, p in enumerate(model.pieces)}
+
+    def word(w):
+        a = [np.ones(len(model.languages))]
+        w = language._START + w
+        for e in range(1, len(w) + 1):
+            sums = np.zeros(len(model.languages))
+            for s in range(e):
+                if w[s:e] in number:
+                    sums += a[s] * model.p[number[w[s:e]]]
+                elif e - s == 1:
+                    sums += a[s] * model.p[-1]
+            a.append(sums)
+        return np.log(a[-1])
+
+    texts = ["das Haus", "the HOUSE, and the-and", "und and", "ж ½ x", "zzz! das", "a1b2c3 ǆ", "", None, "12 ½", "the"]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        runs = re.findall(r"[^\W\d_]+", re.sub("[½]", " ", (t or "").lower()))
+        if not runs:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = sum(map(word, runs))
+        p = np.exp(logs - logs.max())
+        assert r["lang_pred"] == model.languages[p.argmax()] and abs(r["score"] - p.max() / p.sum()) < 1e-4
+
+
 def words_of(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if w]
 
@@ -113,6 +153,43 @@ def test_shingle_join_odd_rows(spark, odd, none):
     assert kept.count() == 10 and kept.columns == odd.columns
 
 
+def test_near_copies_just_under_the_threshold(spark):
+    """One large group of near copies of one text, most of them not similar to each other, and a few that are."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(260):
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 4, 4, 5, 5])):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows + [(1000 + i, rows[i % 3][1]) for i in range(50)], "doc_id long, text string")
+    got = shingle_join.link(frame, 3, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([tuple(r) for r in frame.collect()], 3, 90)
+    assert 5 < len({r["component_id"] for r in got}) < 260
+
+
+def test_large_buckets_are_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    rng = random.Random(12)
+    rows = [(i, " ".join("z" if rng.random() < 0.12 else f"w{k}" for k in range(40))) for i in range(80)]
+    got = shingle_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 1, 80)
+
+
+def test_words_as_hashes():
+    rng, signs = random.Random(1), "aAbZ \t\n\x0b\x0c\r\x1c\x85\u3000éÉ"
+    for _ in range(100):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(signs, k=rng.choice([0, 1, 3, 10, 30]))) for _ in range(20)]
+        own = Words(pa.array(["zz", *texts])[1:], lower=True, keys=2)
+        want = [words_of(t) for t in texts]
+        assert own.counts.tolist() == [len(w) for w in want]
+        flat, keys = [w for ws in want for w in ws], list(zip(*(k.tolist() for k in own.keys)))
+        assert len(set(zip(flat, keys))) == len(set(flat)) == len(set(keys))
+        plain = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        assert own.strings(np.arange(len(plain))) == plain
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(50)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -129,6 +206,24 @@ def edits(p, t):
     return c.min()
 
 
+def whole_edits(p, t):
+    c = list(range(len(t) + 1))
+    for i, sign in enumerate(p, 1):
+        n = [i]
+        for j, other in enumerate(t, 1):
+            n.append(min(c[j - 1] + (other != sign), c[j] + 1, n[-1] + 1))
+        c = n
+    return c[-1]
+
+
+def test_short_items_and_white_space(spark):
+    items = spark.createDataFrame([(1, "Yes, 42"), (2, "one of the longer items\u3000of this benchmark"), (3, ""), (4, None)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "he said YES, 42 times"), (2, "yes, 421"), (3, "x one of the longer\titems of\u2003this benchmark x"), (4, None)], "doc_id long, text string")
+    got = [tuple(r) for r in decontaminate.leaks(texts, items).orderBy("doc_id").collect()]
+    assert got[0] == (1, 1, 0, 8, 15) and [(r[0], r[1], r[2]) for r in got] == [(1, 1, 0), (3, 2, 0)]
+    assert {r["doc_id"] for r in decontaminate.clean(texts, items).collect()} == {1, 2, 4}
+
+
 def test_passages_against_brute_force():
     rng = random.Random(3)
     items = pd.read_parquet(f"{SF}/benchmark.parquet").text.tolist()
@@ -147,7 +242,11 @@ def test_passages_against_brute_force():
         w, k = int(index.window[0]), int(index.edits[0])
         want = any(edits(p[i : i + w], t) <= k for i in range(len(p) - w + 1))
         got = index.find(["other", text, None, ""])
-        assert bool(got) == want and all(g[0] == 1 and edits(p, t[g[3] : g[4]]) >= 0 for g in got)
+        assert bool(got) == want
+        for _, _, n, a, b in got:  # some window of the item is the span, with just so many edits
+            own = t[a:b]
+            fewest = min(whole_edits(p[i : i + w], own) for i in range(len(p) - w + 1))
+            assert fewest <= n <= k
         found += want
     assert 10 < found < 50
 
@@ -184,7 +283,7 @@ def test_personal_data_equals_its_sql(spark, docs):
 
 def test_redaction(spark, odd, none):
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(PII_ROWS, "doc_id long, text string")).collect()}
-    assert got[1] is None and got[2] == "" and got[8] == "ssn [SSN] and 123-45-6789 alone"
+    assert got[1] is None and got[2] == "" and got[8] == "ssn [SSN] and [SSN] alone"
     assert got[7] == "my iban is [IBAN] and [IBAN], DE89370400440532013001" and got[5].startswith("[CARD]x ") and "é[CARD]é 😀[PHONE]" in got[9]
     same = pii.redact(odd)
     assert same.columns == odd.columns and same.exceptAll(odd).count() == 0 and pii.redact(none).count() == 0
@@ -270,6 +369,15 @@ def test_shards(spark, docs, odd, none):
     assert [r["count"] for r in same] == [10] * 5 and sharding.assign(none).count() == 0
 
 
+def test_shards_beside_other_columns(spark, docs):
+    names = ["depth", "prefix", "a.b", "shard_bytes", "cell", "bits"]
+    frame = docs.select("doc_id", "text", *(F.lit(7).alias(c) for c in names))
+    got = sharding.assign(frame, 20_000)
+    assert got.columns == ["doc_id", "text", *(c for c in names if c != "shard_bytes"), "shard", "shard_depth", "shard_bytes"]
+    plain = sharding.assign(docs.select("doc_id", "text"), 20_000)
+    assert got.select("doc_id", "shard").exceptAll(plain.select("doc_id", "shard")).count() == 0 and {r[0] for r in got.select("depth").distinct().collect()} == {7}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))

@@ -5,18 +5,20 @@ holds with at most `EDITS` edits (in proportion fewer for shorter items). Such a
 least WINDOW - q + 1 - q * EDITS q-grams with the text, on diagonals that differ by at most
 2 * EDITS. Shared q-grams are counted in overlapping bands of diagonals; where a band holds that
 many within a window's length, every window that could hold them is verified by banded alignment.
-Case and kinds of white space don't count.
+Case (below U+0600) and kinds of white space don't count.
 
 Text is scanned once for each block of the benchmark of at most `BLOCK_CHARS` signs; the index of a
 block goes to every executor, so its size is bounded, and a benchmark of any size is handled.
 
-Defined cases: null texts and items match nothing; items shorter than q + 1 signs can't be told
-from chance and match nothing; repeated rows are reported each; repeated items by their item_id;
+Defined cases: null and empty texts and items match nothing; items of q signs or fewer are matched
+exactly by `leaks`, as whole words, and are no reason for `clean` to take a document away, as so
+little text is met by chance; repeated rows are reported each; repeated items by their item_id;
 empty tables give no rows; extra columns are ignored by `leaks` and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,12 +46,16 @@ def _lower() -> np.ndarray:
 
 
 _LOWER = _lower()
+#: White space above the table.
+_BLANKS = np.array([c for c in range(0x600, 0x3001) if chr(c).isspace()], np.uint32)
 
 
 def signs(text: str) -> np.ndarray:
     """Code points, one for each sign of the text: lower case, white space as blanks."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < len(_LOWER), _LOWER[np.minimum(points, len(_LOWER) - 1)], points).astype(np.uint32)
+    found = np.where(points < len(_LOWER), _LOWER[np.minimum(points, len(_LOWER) - 1)], points).astype(np.uint32)
+    found[np.isin(found, _BLANKS)] = ord(" ")
+    return found
 
 
 def qgram_hashes(points: np.ndarray) -> np.ndarray:
@@ -71,6 +77,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         own = [(i, signs(t)) for i, t in items if t and len(t) > Q]
+        self.short = [(i, signs(t).tobytes().decode("utf-32-le", "surrogatepass")) for i, t in items if t and len(t) <= Q]
         self.ids = np.array([i for i, _ in own], np.int64)
         self.texts = [t for _, t in own]
         m = np.array([len(t) for t in self.texts], np.int64)
@@ -167,6 +174,19 @@ class Index:
                 best[ends], best_from[ends], best_to[ends] = cost[ends, c], origin[ends, c], base[ends] + r + c + 1
         return best, best_from, best_to
 
+    def find_short(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(text, item_id, start, end) once for each text and item of Q signs or fewer that it holds as whole words."""
+        out = []
+        for k, t in enumerate(texts if self.short else []):
+            plain = signs(t or "").tobytes().decode("utf-32-le", "surrogatepass")
+            for i, item in self.short:
+                at = plain.find(item)
+                while at >= 0 and (plain[max(0, at - 1) : at].isalnum() and item[0].isalnum() or plain[at + len(item) : at + len(item) + 1].isalnum() and item[-1].isalnum()):
+                    at = plain.find(item, at + 1)
+                if at >= 0:
+                    out.append((k, i, at, at + len(item)))
+        return out
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) once for each text and item where a window passes; the first that does."""
         points, doc_start, at = [], [], 0
@@ -209,15 +229,18 @@ class Index:
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_CHARS signs, or one item
+    key = ("passages", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = tokens.held(key, lambda: Index(shared.value))
         for batch in batches:
             for first, texts in tokens.chunks(batch.column(1), 1 << 20):
-                found = index.find(texts.to_pylist())
+                plain = texts.to_pylist()
+                found = [(doc, int(index.ids[item]), *rest) for doc, item, *rest in index.find(plain)]
+                found += [(doc, item, 0, start, end) for doc, item, start, end in index.find_short(plain)]
                 if found:
-                    doc, item, edits, start, end = map(np.array, zip(*found))
-                    values = [batch.column(0).take(pa.array(first + doc)), *map(pa.array, (index.ids[item], edits, start, end))]
+                    doc, *rest = map(np.array, zip(*found))
+                    values = [batch.column(0).take(pa.array(first + doc)), *map(pa.array, rest)]
                     yield pa.RecordBatch.from_arrays(values, names=["doc_id", "item_id", "edits", "span_start", "span_end"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, edits long, span_start long, span_end long")
@@ -235,5 +258,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage. Rows without doc_id stay."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
+    found = written(leaks(docs, benchmark.where(F.length("text") > Q)).select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].cast("long") == F.col("__leaked"), "left_anti")

@@ -8,7 +8,7 @@ come from expectation maximisation (forward and backward) on word counts.
 
 Training takes a bounded sample of the labelled rows: about `SAMPLE_CHARS` characters a language,
 chosen by a hash of doc_id. Words are runs of letters in lower case; nothing else is looked at.
-Each Python worker keeps the scores of the white-space separated words it has met (`MAX_WORDS`).
+Each Python worker keeps the scores of the white-space separated words it has met (`MAX_WORDS`), in arrays by their hashes.
 
 Defined cases: a text that is null, empty or without letters is `und` with score 0; without any
 labelled row every text is `und`; ties go to the language first in alphabetical order; repeated
@@ -18,24 +18,25 @@ rows are predicted each; an empty table gives no rows; extra columns are kept by
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .words import Memory, Words, mix, release
 
 UNKNOWN = "und"
 SAMPLE_CHARS, ROUNDS, SMOOTHING = 2_000_000, 3, 0.01
 MAX_WORDS = 700_000
 #: A document that is kept has at least this score.
 LEAST_SCORE = 0.5
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters; number signs such as ½ aren't letters.
+_LETTERS = regex.compile(r"\p{L}+")
 _START = "▁"
 
 
@@ -49,37 +50,45 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 class Pieces:
-    """Finds every piece of the vocabulary, and every single sign, in words."""
+    """Finds every piece of the vocabulary, and every single sign, in words: by hashes of the pieces' beginnings, all places of
+    all words at once, a sign further each step."""
 
     def __init__(self, pieces: list[str]):
-        import ahocorasick
-
-        self.pieces = pieces
-        self.automaton = ahocorasick.Automaton()
-        for i, p in enumerate(pieces):
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
-        self.single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
+        self.pieces, self.tables = pieces, []
+        longest = max(map(len, pieces), default=1)
+        self.factors = mix(np.arange(longest).astype(np.uint64), 0x91EC) | np.uint64(1)
+        for n in range(1, longest + 1):
+            own = {p[:n]: -1 for p in pieces if len(p) >= n} | {p: i for i, p in enumerate(pieces) if len(p) == n}
+            h = (_signs("".join(own)).reshape(-1, n) * self.factors[:n]).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(h)
+            self.tables.append((h[order], np.fromiter(own.values(), np.int64, len(own))[order]))
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, start, end, piece) of all arcs in order of end, and the words' lengths; piece -1: a sign outside the vocabulary."""
         marked = [_START + w for w in words]
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-        text = "\n".join(marked)
-        found = np.array([(e, i, n) for e, (i, n) in self.automaton.iter(text)], np.int64).reshape(-1, 3)
-        base = np.cumsum(lengths + 1) - lengths - 1
-        word = np.searchsorted(base, found[:, 0], side="right") - 1
-        end = found[:, 0] - base[word] + 1
-        start = end - found[:, 2]
-        odd = [(k, j) for k, w in enumerate(marked) for j, c in enumerate(w) if c not in self.single]
-        if odd:
-            more = np.array(odd, np.int64)
-            word, start, end = np.concatenate([word, more[:, 0]]), np.concatenate([start, more[:, 1]]), np.concatenate([end, more[:, 1] + 1])
-            piece = np.concatenate([found[:, 1], np.full(len(more), -1)])
-        else:
-            piece = found[:, 1]
-        order = np.argsort(end, kind="stable")
-        return word[order], start[order], end[order], piece[order], lengths
+        signs = _signs("".join(marked))
+        last = np.repeat(np.cumsum(lengths), lengths)
+        at, h, found = np.arange(len(signs)), np.zeros(len(signs), np.uint64), []
+        for n, (keys, pieces) in enumerate(self.tables, 1):
+            some = at + n <= last[at]
+            at, h = at[some], h[some]
+            h = h + signs[at + n - 1] * self.factors[n - 1]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[place] == h
+            piece = np.where(known, pieces[place], -1)
+            hit = piece >= 0 if n > 1 else np.ones(len(at), bool)
+            found.append((at[hit], np.full(int(hit.sum()), n), piece[hit]))
+            at, h = at[known], h[known]
+        start, size, piece = (np.concatenate(x) for x in zip(*found))
+        word = np.repeat(np.arange(len(words)), lengths)[start]
+        start = start - (np.cumsum(lengths) - lengths)[word]
+        order = np.argsort(start + size, kind="stable")
+        return word[order], start[order], (start + size)[order], piece[order], lengths
+
+
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def forward(arcs: tuple, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,24 +167,24 @@ class Scorer:
     """One worker's memory of words: a row for each, with log probabilities and the number of letters."""
 
     def __init__(self, model: Model):
-        self.model, self.finder, self.words = model, Pieces(model.pieces), {}
+        self.model, self.finder, self.known = model, Pieces(model.pieces), Memory()
         self.rows = np.zeros((1 << 16, len(model.languages) + 1), np.float32)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], key: np.ndarray, check: np.ndarray) -> np.ndarray:
         runs = [_LETTERS.findall(w.lower()) for w in new]
         flat = list({r for rs in runs for r in rs})
         logs = np.zeros((len(flat), len(self.model.languages)))
         order = sorted(range(len(flat)), key=lambda i: len(flat[i]))
         k = 0
         while k < len(order) and self.model.languages:
-            n = max(1, min(20_000, 2_000_000 // (len(flat[order[k]]) + 8)))
+            n = max(1, min(5_000, 2_000_000 // (len(flat[order[k]]) + 8)))
             while n > 1 and len(flat[order[min(k + n, len(order)) - 1]]) * n > 4_000_000:
                 n //= 2
             at = order[k : k + n]
             logs[at] = forward(self.finder.arcs([flat[i] for i in at]), self.model.p)[0]
             k += n
         number = {r: i for i, r in enumerate(flat)}
-        first = len(self.words)
+        first = len(self.known)
         while first + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         index = np.array([number[r] for rs in runs for r in rs], np.int64)
@@ -186,21 +195,22 @@ class Scorer:
             values = np.concatenate([logs[index], np.array([len(flat[i]) for i in index], float)[:, None]], axis=1)
             sums[owner[heads]] = np.add.reduceat(values, heads, axis=0)
         self.rows[first : first + len(new)] = sums
-        self.words.update(zip(new, range(first, first + len(new))))
+        rows = np.arange(first, first + len(new))
+        self.known.add(key, check, rows)
+        return rows
 
     def sums(self, texts: pa.Array) -> np.ndarray:
         """For each text the sum of its words' rows."""
-        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.words]
-        if new:
-            if self.words and len(self.words) + len(new) > MAX_WORDS:
-                self.words, new = {}, words
-            self._learn(new)
-        table = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        index = table[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, np.int64)
-        edges = np.asarray(split.offsets).astype(np.int64)
+        words = Words(texts, keys=2)
+        key, first, inverse = np.unique(words.keys[0], return_index=True, return_inverse=True)
+        check = words.keys[1][first]
+        rows = self.known.find(key, check)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            if len(self.known) and len(self.known) + len(new) > MAX_WORDS:
+                self.known, new = Memory(), np.arange(len(key))
+            rows[new] = self._learn(words.strings(first[new]), key[new], check[new])
+        index, edges = rows[inverse], np.concatenate([[0], np.cumsum(words.counts)])
         out = np.zeros((len(texts), self.rows.shape[1]))
         full = np.flatnonzero(np.diff(edges))
         if len(full):
@@ -229,16 +239,16 @@ def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     return fit(counts)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score; from the text alone."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its score, called `names`; from the text alone."""
+    kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         own = scorer(model)
-        names = np.array([*model.languages, UNKNOWN], object)
+        languages = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for first, texts in tokens.chunks(batch.column(at)):
                 sums = own.sums(texts)
@@ -250,11 +260,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     posterior = 1 / np.exp(logs - top[:, None]).sum(axis=1)
                     best[some], score[some] = logs.argmax(axis=1)[some], posterior[some]
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages[best], pa.string()), pa.array(score)], names=[*part.schema.names, "lang", "score"])
+            release()
 
-    plain = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in kept))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    # under names of our own, as those of docs may need quotes
+    plain = docs.select(*(F.col(f"`{c}`").cast("string" if c == text else docs.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(kept)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, f"{schema}, lang string, score double").toDF(*kept, *names)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

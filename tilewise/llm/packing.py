@@ -12,8 +12,9 @@
    come from counts by (length, salt), so that a very common length is spread over many tasks.
 
 Defined cases: null text is an empty text, which packs as its end id alone; an empty table gives
-no rows; repeated doc_ids are separate documents told apart by a running number of the row within
-(doc_id, text hash); extra columns are ignored.
+no rows; each row is a document of its own, also where several share a doc_id: their pieces have
+places of their own, but nothing in the result says which of those rows a piece is from; extra
+columns are ignored.
 """
 
 from __future__ import annotations

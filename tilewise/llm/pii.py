@@ -120,6 +120,14 @@ def _matches(kind: str, text: Column) -> Column:
     return F.when(F.instr(text, NEEDS[kind]) > 0, found) if kind in NEEDS else found
 
 
+def _ahead(pieces: Column, matches: Column, i: Column) -> Column:
+    """The CONTEXT_CHARS signs before match i, from the pieces and matches before it. A match has two signs at least."""
+    first = F.greatest(i - CONTEXT_CHARS // 2, F.lit(0))
+    tail = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+    parts = F.transform(F.sequence(first, i), lambda j: F.concat(tail(F.get(pieces, j)), F.when(j < i, tail(F.get(matches, j))).otherwise("")))
+    return tail(F.array_join(parts, ""))
+
+
 def with_spans(docs: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "text") -> DataFrame:
     """`docs` with `pii`: all confirmed spans in order of start, then of kind: struct(start, rank, end, kind, score)."""
     columns = [f"`{c}`" for c in docs.columns if c != "pii"]
@@ -134,7 +142,7 @@ def with_spans(docs: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "tex
         def one(m: Column, i: Column) -> Column:
             piece = F.get(F.col(f"__pii_p_{k}"), i)
             start = F.get(F.col(f"__pii_b_{k}"), i) + F.length(piece)
-            near = F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[k])
+            near = F.lower(_ahead(F.col(f"__pii_p_{k}"), F.col(f"__pii_m_{k}"), i)).rlike(CONTEXT[k])
             score = F.lit(SCORES[k]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
             return F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(k)).alias("rank"), (start + F.length(m)).cast("long").alias("end"), F.lit(k).alias("kind"), score.alias("score"), confirmed(k, m).alias("ok"))
 
@@ -166,12 +174,12 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = ("email", "iban", "card", "
 
         def cover(p: Column, i: Column) -> Column:
             own = F.get(m, i)
-            near = F.lower(F.right(p, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[k]) if SCORES[k] < LEAST_SCORE else F.lit(True)
-            return F.concat(p, F.coalesce(F.when(confirmed(k, own) & near, MASKS[k]).otherwise(own), F.lit("")))
+            near = F.lower(_ahead(F.col("__pii_p"), m, i)).rlike(CONTEXT[k]) if SCORES[k] < LEAST_SCORE else F.lit(True)
+            return F.concat(p, F.coalesce(F.when(own.isNotNull() & confirmed(k, own) & near, MASKS[k]).otherwise(own), F.lit("")))
 
         return df.withColumn(text, F.when(F.col("__pii_p").isNotNull(), F.array_join(F.transform("__pii_p", cover), "")).otherwise(t))
 
-    return reduce(masked, kinds, docs).select(*docs.columns)
+    return reduce(masked, kinds, docs).select(*(f"`{c}`" for c in docs.columns))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ PATTERNS = pii.PATTERNS | {
 
 def sql() -> str:
     found = " UNION ALL ".join(
-        f"""SELECT doc_id, row, '{k}' AS kind, {pii.KINDS.index(k)} AS rank, {pii.SCORES[k]}::DOUBLE AS score, '{pii.CONTEXT[k]}' AS context,
+        f"""SELECT doc_id, row, t, '{k}' AS kind, {pii.KINDS.index(k)} AS rank, {pii.SCORES[k]}::DOUBLE AS score, '{pii.CONTEXT[k]}' AS context,
         regexp_extract_all(t, '{PATTERNS[k]}') AS ms, string_split_regex(t, '{PATTERNS[k]}') AS ps FROM d"""
         for k in pii.KINDS
     )
@@ -23,14 +23,16 @@ def sql() -> str:
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
 found AS ({found}),
 single AS (
-  SELECT doc_id, row, kind, rank, score, context, ms, ps, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM found WHERE len(ms) > 0
+  SELECT doc_id, row, t, kind, rank, score, context, ms, ps, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM found WHERE len(ms) > 0
+),
+started AS (
+  SELECT *, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM single
 ),
 placed AS (
-  SELECT doc_id, row, kind, rank, m, {digits} AS digits,
-    (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s,
-    score + CASE WHEN regexp_matches(lower(right(ps[i], {pii.CONTEXT_CHARS})), context) THEN {pii.CONTEXT_BONUS}::DOUBLE ELSE 0 END AS score,
+  SELECT doc_id, row, kind, rank, m, s, {digits} AS digits,
+    score + CASE WHEN regexp_matches(lower(substring(t, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, least(s, {pii.CONTEXT_CHARS}))), context) THEN {pii.CONTEXT_BONUS}::DOUBLE ELSE 0 END AS score,
     replace(m, ' ', '') AS plain
-  FROM single
+  FROM started
 ),
 kept AS (
   SELECT *, kind || ':' || s || ':' || (s + length(m)) AS span FROM placed WHERE CASE kind

@@ -25,6 +25,8 @@ LIMIT = 1 << 20
 BITS = 60
 #: Cells of the directory for each shard, as a power of two; bits that a further round looks at.
 FINE, MORE = 3, 16
+#: Parts in which the equal rows of one prefix are numbered.
+SALTS = 512
 
 
 def bits(key: str = "doc_id", text: str = "text") -> Column:
@@ -67,20 +69,23 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     depths = sorted(r[0] for r in leaves.select("cell_depth").distinct().collect())  # at most BITS
     placed = None
     for d in depths:  # one, but for buckets beyond the first directory's depth
-        own = leaves.where(F.col("cell_depth") == d).drop("cell_depth").withColumnRenamed("cell", "__cell")
+        own = leaves.where(F.col("cell_depth") == d).select(F.col("cell").alias("__cell"), *(F.col(c).alias(f"__{c}") for c in ("depth", "prefix", "shard_bytes")))
         part = df.withColumn("__cell", F.shiftright("__bits", BITS - d)).join(own, "__cell").drop("__cell")
         placed = part if placed is None else placed.union(part)
     if placed is None:
-        placed = df.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("shard_bytes"))
-    name = F.concat(F.lit("b"), F.when(F.col("depth") > 0, F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).otherwise(""))
-    result = lambda page: [*kept, F.concat(name, page).alias("shard"), F.col("depth").alias("shard_depth"), "shard_bytes"]
-    over = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
-    if leaves.where(over).isEmpty():
+        placed = df.select("*", F.lit(0).alias("__depth"), F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__shard_bytes"))
+    name = F.concat(F.lit("b"), F.when(F.col("__depth") > 0, F.lpad(F.conv(F.col("__prefix").cast("string"), 10, 2), F.col("__depth"), F.lit("0"))).otherwise(""))
+    result = lambda page: [*kept, F.concat(name, page).alias("shard"), F.col("__depth").alias("shard_depth"), F.col("__shard_bytes").alias("shard_bytes")]
+    over = (F.col("__depth") == BITS) & (F.col("__shard_bytes") > limit)
+    if leaves.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit)).isEmpty():
         return placed.select(*result(F.lit("")))
-    # rows with all bits alike are equal: as many to a page as fit
-    number = F.row_number().over(Window.partitionBy("prefix").orderBy("__bytes")) - 1
+    # rows with all bits alike are equal: as many to a page as fit, numbered in parts of each prefix
+    alike = written(placed.where(over).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "alike")
+    in_order = Window.partitionBy("__prefix").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy("__prefix", "__salt").count().select("__prefix", "__salt", F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__prefix", "__salt").orderBy("__bytes")) - 1
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("__bytes"))))
-    paged = placed.where(over).withColumn("__page", F.floor(number / each))
+    paged = alike.join(parts, ["__prefix", "__salt"]).withColumn("__page", F.floor(number / each))
     return placed.where(~over).select(*result(F.lit(""))).union(paged.select(*result(F.concat(F.lit("+"), F.col("__page").cast("string")))))
 
 

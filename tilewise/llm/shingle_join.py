@@ -35,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
 from .storage import written
+from .words import Words, release
+from .words import mix as _mix
 
 #: Bits of the smallest sketch; larger sets have the power of two that is twice their size at least.
 LEAST_BITS = 1024
@@ -55,13 +56,6 @@ BLOCK = 1024
 ROUNDS = (2, None)
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of each run of `sizes` values."""
     out, full = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
@@ -70,41 +64,10 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signs() -> tuple[np.ndarray, np.ndarray]:
-    """The value of each byte of a word, A-Z as a-z and white space 0, and which bytes are white space."""
-    byte = np.arange(256)
-    space = (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
-    lower = np.where((byte >= ord("A")) & (byte <= ord("Z")), byte + 32, byte)
-    return np.where(space, np.uint64(0), _mix(lower.astype(np.uint64), 0xB17E)), space
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z in lower case, of each text, and how many words each text has. The hash is the sum of the
-    bytes' values, each times a factor of its place in the word."""
-    texts = pc.fill_null(texts, "")
-    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
-    edges = edges - edges[0]
-    values, space = _signs()
-    blank = space[data]
-    begins = ~blank
-    inner = begins[1:] & ~blank[:-1]  # goes on from the byte before
-    cut = edges[(edges > 0) & (edges < len(data))]
-    inner[cut - 1] = False
-    begins[1:] &= ~inner
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    sizes = np.diff(np.append(starts, len(data)))
-    factors = _mix(np.arange(int(sizes.max())).astype(np.uint64), 0xFAC7) | np.uint64(1)
-    place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], sizes)
-    sums = np.add.reduceat(values[data[starts[0] :]] * factors[place], starts - starts[0])
-    return _mix(sums, 0x3A5E), np.diff(np.searchsorted(starts, edges))
-
-
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct word shingles of each text, one text after another, and how many each has. At most 65536 texts."""
-    word, count = words_of(texts)
+    own = Words(texts, lower=True)
+    word, count = own.keys[0], own.counts
     owner, ends = np.repeat(np.arange(len(texts)), count), np.cumsum(count)
     factors = [_mix(np.array([j + 1], np.uint64), 0x5EED) | np.uint64(1) for j in range(words)]
     rolled = np.zeros(max(0, len(word) - words + 1), np.uint64)
@@ -272,6 +235,7 @@ def features(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame
         return tuple(map(list, zip(*rows)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held, count, turn = [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -298,6 +262,7 @@ def features(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame
                     count = 0
         if held:
             yield flush()
+        release()
 
     def rows(of: int, size: int, **given: pa.Array) -> pa.RecordBatch:
         names = [x.split()[0] for x in _ARRIVE.split(", ")]
@@ -330,6 +295,8 @@ def features(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame
             some = np.repeat(low != high, n)
             if some.any():
                 yield rows(MET, int(some.sum()), sig=_long(sig[some]), v=_long(v[some]), least=_long(np.repeat(low, n)[some]))
+            del sig, v, order, low, high, some
+        release()
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(send, _TRAVEL).repartitionById(parts, F.col("p")).mapInArrow(meet, _ARRIVE)

@@ -3,9 +3,8 @@
 The tokenizer of `word_bpe_49k.json` drops white space and never joins characters across it, so
 a text's ids are the ids of its words one after another. Words repeat far more than texts do:
 each Python worker keeps the ids of the words it has met (at most `MAX_WORDS`, then it starts
-anew) and asks the library only for new ones. Splitting, lower-casing and finding the distinct
-words run on Arrow arrays. Texts in which a shortcut could change the result are handed to the
-library whole. Null text counts as empty.
+anew) in arrays by their hashes, and asks the library only for new ones. Texts in which that could
+change the result are handed to the library whole. Null text counts as empty.
 """
 
 from __future__ import annotations
@@ -16,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import Memory, Words
+
 MAX_WORDS = 700_000
 #: Bytes of text that are split into words at a time.
 CHUNK_BYTES = 4 << 20
 _JOINED = 256
-#: What Python and Arrow call white space and the tokenizer doesn't, and what may hold a special token.
+#: What Python calls white space and the tokenizer doesn't, and what may hold a special token.
 _WHOLE = r"[\x1c-\x1f]|<\|"
-#: Within Latin-1, lower case and the tokenizer's Unicode normalisation can't meet.
-_BEYOND = r"[^\x00-\xff]"
 _MARK = "\x01"
 
 _held: dict[tuple, object] = {}
@@ -49,6 +48,11 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
+def forget() -> None:
+    """Lets go of what a stage before this one has left in the worker."""
+    _held.clear()
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(place, slice) with about `most` bytes of text in each slice; one longer text stands alone."""
     if len(texts) == 0:
@@ -71,7 +75,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.known = Memory()
         self.starts = np.zeros(1 << 16, np.int32)
         self.lengths = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
@@ -99,8 +103,9 @@ class WordEncoder:
             sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = len(self.words), len(words)
+    def _keep(self, key: np.ndarray, check: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The rows of new words with the ids `flat`."""
+        first, n = len(self.known), len(key)
         while first + n > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(flat) > len(self.pool):
@@ -109,59 +114,77 @@ class WordEncoder:
         self.lengths[first : first + n] = sizes
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.words.update(zip(words, range(first, first + n)))
-
-    def _learn(self, new: list[str]) -> None:
-        known = self.words
+        rows = np.arange(first, first + n)
+        self.known.add(key, check, rows)
+        return rows
+
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words, joined where that is safe."""
+        odd = np.array([_MARK in w or len(self.mark) != 1 for w in words])
+        if not odd.any():
+            return self._joined(words)
+        return self._library(words)
+
+    def _stems(self, words: list[str]) -> np.ndarray:
+        """Rows of distinct words, which the library is asked for where they aren't known."""
+        own = Words(pa.array(words), keys=2)
+        rows = self.known.find(*own.keys)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self._keep(own.keys[0][new], own.keys[1][new], *self._ask([words[i] for i in new]))
+        return rows
+
+    def _learn(self, words: list[str], key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The rows of distinct new words."""
+        rows = np.zeros(len(words), np.int64)
         # a stop or comma after a letter is a pre-token of its own
-        ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "Ā"]
-        stems = {w[:-1] for w in ended}
-        plain = list({w for w in new if not (w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "Ā")} | {w for w in stems | {".", ","} if w not in known})
-        odd = [w for w in plain if _MARK in w or len(self.mark) != 1]
-        if odd:
-            self._keep(odd, *self._library(odd))
-            plain = [w for w in plain if w not in known]
-        if plain:
-            self._keep(plain, *self._joined(plain))
-        if ended:
-            pairs = np.array([(known[w[:-1]], known[w[-1]]) for w in ended], np.int64).ravel()
+        split = np.array([w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "Ā" for w in words])
+        plain, ended = np.flatnonzero(~split), np.flatnonzero(split)
+        if len(plain):
+            rows[plain] = self._keep(key[plain], check[plain], *self._ask([words[i] for i in plain]))
+        if len(ended):
+            stems = sorted({words[i][:-1] for i in ended} | {".", ","})
+            place = {w: n for n, w in enumerate(stems)}
+            known = self._stems(stems)
+            pairs = np.array([(known[place[words[i][:-1]]], known[place[words[i][-1]]]) for i in ended], np.int64).ravel()
             sizes = self.lengths[pairs].astype(np.int64)
-            self._keep(ended, self._gather(pairs, sizes), sizes.reshape(-1, 2).sum(axis=1))
+            rows[ended] = self._keep(key[ended], check[ended], self._gather(pairs, sizes), sizes.reshape(-1, 2).sum(axis=1))
+        return rows
 
     def _gather(self, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         ends = np.cumsum(sizes)
         return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[index] - ends + sizes, sizes)]
 
-    def _by_words(self, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.words]
-        if new:
-            if self.words and len(self.words) + len(new) > MAX_WORDS:
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(texts, keys=2)
+        key, first, inverse = np.unique(words.keys[0], return_index=True, return_inverse=True)
+        check = words.keys[1][first]
+        if (words.keys[1] != check[inverse]).any():  # two words of one hash
+            return self._library(texts.to_pylist())
+        rows = self.known.find(key, check)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            if len(self.known) and len(self.known) + len(new) > MAX_WORDS:
                 self._clear()
-                new = words
-            self._learn(new)
-        table = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        index = table[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, np.int64)
+                new = np.arange(len(key))
+            rows[new] = self._learn(words.strings(first[new]), key[new], check[new])
+        index = rows[inverse]
         sizes = self.lengths[index].astype(np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(split.offsets)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words.counts)])]
         return self._gather(index, sizes), np.diff(edges)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another as unsigned 32-bit integers, and how many each text has."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        beyond = pc.match_substring_regex(texts, _BEYOND).to_numpy(zero_copy_only=False)
-        kinds = np.where(whole, 2, beyond.astype(np.int8))
-        if len(kinds) and (kinds == kinds[0]).all() and kinds[0] < 2:
-            return self._by_words(texts, not kinds[0])
+        if not whole.any():
+            return self._by_words(texts)
         sizes, parts = np.zeros(len(texts), np.int64), []
-        for kind in (0, 1, 2):
-            at = np.flatnonzero(kinds == kind)
+        for own in (whole, ~whole):
+            at = np.flatnonzero(own)
             if len(at):
-                own = texts.take(pa.array(at))
-                ids, sizes[at] = self._library(own.to_pylist()) if kind == 2 else self._by_words(own, not kind)
+                some = texts.take(pa.array(at))
+                ids, sizes[at] = self._library(some.to_pylist()) if own is whole else self._by_words(some)
                 parts.append((at, ids))
         starts = np.cumsum(sizes) - sizes
         out = np.zeros(int(sizes.sum()), np.uint32)
