@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewise.llm import decontaminate, language, packing, pii, shingle_join
 from tilewise.llm.storage import written
@@ -18,10 +19,9 @@ from tilewise.session import importable
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in a language go; `lang` becomes the predicted one. Learns from the labelled rows of docs."""
     importable(spark)
-    columns = docs.columns
-    found = language.predict(docs, language.train(docs))
-    kept = found.where((found.lang_pred != language.UNKNOWN) & (found.score >= language.LEAST_SCORE))
-    return kept.withColumn("lang", kept.lang_pred).select(*columns)
+    found = language.predict(docs, language.train(docs), names=("__lang", "__score"))
+    kept = found.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= language.LEAST_SCORE))
+    return kept.select(*(F.col("__lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
