@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .storage import written
+from .words import release
 
 Q, WINDOW, EDITS = 12, 100, 6
 BLOCK_CHARS = 2_000_000
@@ -54,7 +55,9 @@ def signs(text: str) -> np.ndarray:
     """Code points, one for each sign of the text: lower case, white space as blanks."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     found = np.where(points < len(_LOWER), _LOWER[np.minimum(points, len(_LOWER) - 1)], points).astype(np.uint32)
-    found[np.isin(found, _BLANKS)] = ord(" ")
+    far = np.flatnonzero(points >= len(_LOWER))
+    if len(far):
+        found[far] = np.where(np.isin(found[far], _BLANKS), ord(" "), found[far])
     return found
 
 
@@ -242,6 +245,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     doc, *rest = map(np.array, zip(*found))
                     values = [batch.column(0).take(pa.array(first + doc)), *map(pa.array, rest)]
                     yield pa.RecordBatch.from_arrays(values, names=["doc_id", "item_id", "edits", "span_start", "span_end"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, edits long, span_start long, span_end long")
 

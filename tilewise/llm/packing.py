@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .storage import written
+from .words import release
 
 CAPACITY = 4096
 END_ID = 1
@@ -63,6 +64,7 @@ def tokenised(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, p
                     edges = np.concatenate([np.cumsum(length) - length, [len(flat)]]).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
 

@@ -49,7 +49,7 @@ LEAST_BITS = 1024
 #: Up to as many ids are sent to every executor (8 bytes each); beyond that texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Signatures that one task sends at a time, and that one task brings together, about.
-SENT, PART = 1_500_000, 2_000_000
+SENT, PART = 600_000, 600_000
 #: Vertices of a bucket that one group holds, about; larger buckets are pairs of such blocks.
 BLOCK = 1024
 #: How many partners a vertex puts forward in each round of a bucket; None: all.
@@ -311,6 +311,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingles(texts, words)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 yield _batch(v=_long(_prints(values, sizes)[0]), set=pa.ListArray.from_arrays(offsets, _long(values)))
+        release()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "v long, set array<long>").where(F.size("set") > 0)
 
@@ -337,6 +338,7 @@ def _first_pairs(buckets: DataFrame, known: DataFrame, percent: int) -> DataFram
             sketches = Sketches.read(pa.concat_arrays([batch.column("sketch"), batch.column("other")]))
             ok, _ = _possible(n, sketches, np.arange(m), np.arange(m) + m, percent)
             yield batch.select(["a", "b"]).take(pa.array(ok))
+        release()
 
     star = buckets.where("v <> least").groupBy(F.col("v").alias("a")).agg(F.min("least").alias("b"))
     one, other = known.select(F.col("v").alias("a"), "n", "sketch"), known.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
@@ -402,6 +404,8 @@ def _candidates(open_: DataFrame, percent: int, most: int | None) -> DataFrame:
                 rest = rest.slice(last)
         if rest is not None and rest.num_rows:
             yield pairs_of(rest)
+        del rest
+        release()
 
     return open_.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -19,7 +19,7 @@ from .words import Memory, Words
 
 MAX_WORDS = 700_000
 #: Bytes of text that are split into words at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _JOINED = 256
 #: What Python calls white space and the tokenizer doesn't, and what may hold a special token.
 _WHOLE = r"[\x1c-\x1f]|<\|"
