@@ -26,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: that with the smallest doc_id."""
+    importable(spark)
     return shingle_join.deduplicate(docs, words=5, percent=80)
 
 

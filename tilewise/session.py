@@ -11,9 +11,15 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows that go to a Python worker at once, where the session doesn't say: texts and arrays are large rows.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Lets Python workers started from now on import this package from where the driver has it. A cluster whose machines
-    don't share that folder gets the package by --py-files, as usual."""
+    don't share that folder gets the package by --py-files, as usual. Sets `BATCH` where it is unset."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
