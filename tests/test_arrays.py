@@ -112,6 +112,15 @@ def test_ranges_cover_all_keys_once(shape, data):
     assert [a for a, _ in blocks[1:]] == [b for _, b in blocks[:-1]] and blocks[0][0] == 0
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=4), st.integers(1, 60), st.floats(0.01, 1))
+def test_ranges_keep_within_the_limit(shape, limit, weight):
+    plan = ranges.key_ranges(shape, [1] * len(shape), key_limit=limit, weight=weight)
+    blocks = plan.blocks()
+    assert all(0 < b - a <= limit for a, b in blocks) and blocks[0][0] == 0 and blocks[-1][1] == math.prod(shape)
+    assert [a for a, _ in blocks[1:]] == [b for _, b in blocks[:-1]]
+
+
 def test_partitions_hold_their_ranges(spark):
     plan = ranges.key_ranges((40, 6), (2, 3), parts=4)
     dealt = ranges.repartitioned(tiles.tile_agg(generator.incrementing(spark, (40, 6)), (2, 3), "count"), plan)
@@ -198,3 +207,22 @@ def test_slabs_inside_tiles_are_refused(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4])], "low int, values array<int>")
     with pytest.raises(Exception, match="begins inside a tile"):
         tiles.merge_median(df, (4, 1), (2, 1), 2).collect()
+
+
+def test_netcdf_appends_overwrites_and_corners(spark, tmp_path):
+    spark.dataSource.register(netcdf3.NetCDF3)
+    folder = f"file://{tmp_path}/cells"
+    cells = lambda a, b: spark.range(a, b).selectExpr("CAST(id AS INT) AS d0", "CAST(id % 4 + 5 AS INT) AS d1", "CAST(id * 2 AS INT) AS value").coalesce(1)
+    save = lambda df, mode: df.write.format("netcdf3").option("variable", "w").mode(mode).save(folder)
+    load = lambda: sorted(tuple(r) for r in spark.read.format("netcdf3").options(variable="w", fillAsNull="true").load(folder).where("value IS NOT NULL").collect())
+    rows = lambda a, b: [(i, i % 4 + 5, 2 * i) for i in range(a, b)]
+    save(cells(16, 32), "append")
+    save(cells(0, 16), "append")
+    assert load() == rows(0, 32)
+    save(cells(40, 44), "overwrite")
+    assert load() == rows(40, 44) and not list(tmp_path.glob("cells/_*"))
+    part = spark.read.format("netcdf3").options(variable="w", fillAsNull="true", records="41,43").load(folder).where("value IS NOT NULL")
+    assert sorted(tuple(r) for r in part.collect()) == rows(41, 43)
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        save(spark.range(1).selectExpr("CAST(0 AS INT) AS d0", "9007199254740993L AS value").coalesce(1), "append")
+    assert load() == rows(40, 44) and not list(tmp_path.glob("cells/_*"))

@@ -27,22 +27,21 @@ class KeyRanges:
         return [(min(p * size, total), total if p == self.parts - 1 else min((p + 1) * size, total)) for p in range(self.parts)]
 
 
-def key_ranges(shape: Sequence[int], tile: Sequence[int], parts: int = 1, key_limit: int | None = None, weight: float | None = None) -> KeyRanges:
-    """Cuts the whole tiles of an array into contiguous ranges. With `key_limit` there are as many parts as keep each within
-    it. Blocks lie along the smallest dimension whose slices are lighter than `weight` (1 / (2 parts)) of all keys."""
+def key_ranges(shape: Sequence[int], tile: Sequence[int], parts: int = 1, key_limit: int | None = None, weight: float = 0.5) -> KeyRanges:
+    """Cuts the whole tiles of an array into contiguous ranges of whole slices: at most `parts` of about equal size, or with
+    `key_limit` as many as keep each range within it. The slices are those of the first dimension in which one slice is at most
+    `weight` of a range; in the last dimension a slice is one key, so every range can be kept within any limit."""
     space = output_space(shape, tile)
-    total = math.prod(space)
+    total, sizes = math.prod(space), strides(space)
     if total == 0:
         raise ValueError("no whole tile fits")
-    if key_limit:
-        parts = -(-total // key_limit)
-    weight = 1 / (2 * parts) if weight is None else weight
-    st = strides(space)
-    dim = next((i for i, s in enumerate(st) if s / total < weight and (not key_limit or s <= key_limit)), len(space) - 1)
-    step = max(1, -(-math.prod(space[: dim + 1]) // parts))
-    while key_limit and step > 1 and step * st[dim] > key_limit:
-        step -= 1
-    return KeyRanges(space, parts, dim, step)
+    if key_limit is not None and key_limit < 1:
+        raise ValueError("key_limit is one key at least")
+    target = key_limit or -(-total // parts)
+    dim = min(i for i, size in enumerate(sizes) if size == 1 or size <= min(1.0, weight) * target)
+    slices = total // sizes[dim]
+    step = target // sizes[dim] if key_limit else -(-slices // parts)
+    return KeyRanges(space, -(-slices // step), dim, step)
 
 
 def with_partition(df: DataFrame, ranges: KeyRanges) -> DataFrame:

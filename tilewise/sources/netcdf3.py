@@ -57,7 +57,7 @@ def find_files(path: str) -> list[str]:
         if info.type == fs.FileType.File:
             return [path]
         folder, pattern = at, "*.nc"
-    found = store.get_file_info(fs.FileSelector(folder))
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
     return [prefix + f.path for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
 
 
@@ -256,11 +256,13 @@ class Reader(DataSourceReader):
             raise ValueError(f"no such multiFileMode: {mode}")
         out, offset = [], 0
         for file in usable_files(o["path"], o):
-            n = read_header(file).shape(self.variable)[0]
-            own = [None if x is None else x - offset for x in (low, high)]
+            head = read_header(file)
+            n, corner = head.shape(self.variable)[0], head.attributes.get("corner")
+            start = offset if corner is None else int(corner[0])  # files of our own say where they begin
+            own = [None if x is None else x - start for x in (low, high)]
             slabs = record_slabs(n, int(o.get("numpartitions", 8)), int(o.get("align", 1)), *own)
-            out += [Slab(file, a, b, offset) for a, b in slabs]
-            offset += n if mode == "concat" else 0
+            out += [Slab(file, a, b, start) for a, b in slabs]
+            offset += n if mode == "concat" and corner is None else 0
         return out
 
     def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
@@ -268,6 +270,7 @@ class Reader(DataSourceReader):
         v, shape = head.variable(self.variable), head.shape(self.variable)
         kind = np.dtype(TYPES[CODES[v.kind]])
         row = math.prod(shape[1:])
+        corner = [partition.offset, *(int(x) for x in head.attributes.get("corner", [0] * len(shape))[1 : len(shape)])]
         fill = (v.attributes.get("_FillValue") or [FILLS[v.kind]])[0] if self.options.get("fillasnull", "false").lower() == "true" else None
         strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
         step = max(1, BATCH_CELLS // max(1, row))
@@ -287,8 +290,7 @@ class Reader(DataSourceReader):
                 for k in range(0, len(cells), BATCH_CELLS):
                     part = cells[k : k + BATCH_CELLS]
                     number = a * row + k + np.arange(len(part), dtype=np.int64)
-                    dims = [(number // s) % n for s, n in zip(strides, shape)]
-                    dims[0] = dims[0] + partition.offset
+                    dims = [(number // s) % n + c for s, n, c in zip(strides, shape, corner)]
                     values = pa.array(part, mask=part == kind.type(fill)) if fill is not None else pa.array(part)
                     yield pa.RecordBatch.from_arrays([*(pa.array(d.astype(np.int32), t) for d, t in zip(dims, types)), values.cast(value)], names=self.schema.names)
 
@@ -315,8 +317,12 @@ class Wrote(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
+    """Each partition is one file, written to a folder of this write and moved to the target when all are there. An append keeps
+    what is there; an overwrite takes away the *.nc files of before. The attribute `corner` holds a file's first coordinates."""
+
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.schema, self.options, self.overwrite = schema, options, overwrite
+        self.schema, self.options, self.overwrite, self.write_id = schema, options, overwrite, uuid.uuid4().hex[:16]
+        self.staging = f"{options['path'].rstrip('/')}/_{self.write_id}"
         self.dims = [n for n in schema.names if n != "value"]
         if "value" not in schema.names:
             raise ValueError("a column `value` and one for each dimension are needed")
@@ -337,23 +343,41 @@ class Writer(DataSourceArrowWriter):
         block = np.full(shape, FILLS[kind], kind)
         values = table["value"]
         block[tuple((at - corner).T)] = np.where(values.is_null().to_numpy(), FILLS[kind], values.fill_null(0).to_numpy()).astype(kind)
+        if self.schema["value"].dataType.simpleString() == "bigint" and len(at):
+            whole = values.drop_null().to_numpy()
+            if len(whole) and max(abs(int(whole.min())), abs(int(whole.max()))) > 1 << 53:
+                raise ValueError("NetCDF-3 has no 64-bit integers, and a double holds them up to 2**53 only")
+        if at.min() < -(1 << 31) or at.max() >= 1 << 31:
+            raise ValueError("coordinates are 32-bit integers")
         name = self.options.get("variable", "var1")
         dimensions = [(d, int(n)) for d, n in zip(self.dims, shape)]
-        folder = self.options["path"]
-        store, path = open_store(folder)
+        store, path = open_store(self.staging)
         store.create_dir(path, recursive=True)
-        file = f"{folder}/part-{TaskContext.get().partitionId():05d}.nc"
+        task = TaskContext.get()
+        file = f"{self.staging}/part-{self.write_id}-{task.partitionId():05d}-{task.taskAttemptId()}.nc"
         write_file(file, dimensions, {name: (self.dims, block, {"_FillValue": np.array([FILLS[kind]], kind)})}, attributes={"corner": corner.astype(np.int32)})
         return Wrote(file)
 
     def commit(self, messages: list) -> None:
-        pass
-
-    def abort(self, messages: list) -> None:
+        folder = self.options["path"].rstrip("/")
+        store, _ = open_store(folder)
+        before = find_files(folder) if self.overwrite else []
         for m in messages:
             if m is not None and m.file:
-                store, at = open_store(m.file)
-                store.delete_file(at)
+                store.move(open_store(m.file)[1], open_store(f"{folder}/{m.file.rpartition('/')[2]}")[1])
+        for file in before:
+            store.delete_file(open_store(file)[1])
+        self._clear()
+
+    def abort(self, messages: list) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        store, at = open_store(self.staging)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir(at)
 
 
 class NetCDF3(DataSource):
