@@ -146,13 +146,20 @@ def dense_tiles_with_edges(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
+    """The vectors as two files, the first half and the rest."""
     whole = embeddings(spark, sf_dir)
-    low = ArrayFrame.of(whole.records(0, 250).df, whole.dims, shape=(250, 64))
-    high = ArrayFrame.of(whole.records(250, 500).df.withColumn("d0", F.col("d0") - 250), whole.dims, shape=(250, 64))
+    n = _vectors(spark, sf_dir)
+    low = ArrayFrame.of(whole.records(0, n // 2).df, whole.dims, shape=(n // 2, 64))
+    high = ArrayFrame.of(whole.records(n // 2, n).df.withColumn("d0", F.col("d0") - n // 2), whole.dims, shape=(n - n // 2, 64))
     return [low, high]
 
 
-_CELLS = "(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id < 500)"
+def _vectors(spark, sf_dir) -> int:
+    return (_read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+_CELLS = """(SELECT vec_id, v, i, h, (vec_id >= h)::INT AS file, vec_id - CASE WHEN vec_id >= h THEN h ELSE 0 END AS r FROM
+(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), (SELECT (max(vec_id) + 1) // 2 AS h FROM embeddings))"""
 
 
 @query(f"SELECT (vec_id // 100)::INT AS g0, (i // 16)::INT AS g1, max(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM {_CELLS} GROUP BY ALL")
@@ -160,30 +167,33 @@ def files_one_after_another(spark, sf_dir):
     return tiles.tile_agg(concat(_halves(spark, sf_dir)), (100, 16), "max")
 
 
-@query(f"SELECT ((vec_id % 250) // 100)::INT AS g0, (i // 16)::INT AS g1, max(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM {_CELLS} GROUP BY ALL")
+@query(f"SELECT (r // 100)::INT AS g0, (i // 16)::INT AS g1, max(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM {_CELLS} GROUP BY ALL")
 def files_over_each_other(spark, sf_dir):
     return tiles.tile_agg(concat(_halves(spark, sf_dir), "combine"), (100, 16), "max")
 
 
-@query(f"SELECT (vec_id // 250)::INT AS file, ((vec_id % 250) // 100)::INT AS g0, (i // 16)::INT AS g1, min(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM {_CELLS} GROUP BY ALL")
+@query(f"SELECT file, (r // 100)::INT AS g0, (i // 16)::INT AS g1, min(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM {_CELLS} GROUP BY ALL")
 def tiles_by_file(spark, sf_dir):
     return tiles.tile_agg(concat(_halves(spark, sf_dir), "combine", "file"), (100, 16), "min", by=["file"])
 
 
-@query("""SELECT part, count(*) AS n_keys, min(g0) AS first_g0, max(g0) AS last_g0 FROM (
-SELECT DISTINCT (vec_id // 2)::INT AS g0, (i // 16)::INT AS g1, least(((vec_id // 2) * 4) // (63 * 4), 3)::INT AS part
-FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id < 500)) GROUP BY part""")
+_PLAN = "(SELECT n // 2 AS slices, (n // 2 + 3) // 4 AS step FROM (SELECT max(vec_id) + 1 AS n FROM embeddings))"
+_PART = "least((vec_id // 2) // step, (slices + step - 1) // step - 1)::INT"
+
+
+@query(f"""SELECT part, count(*) AS n_keys, min(g0) AS first_g0, max(g0) AS last_g0 FROM (
+SELECT DISTINCT (vec_id // 2)::INT AS g0, (i // 16)::INT AS g1, {_PART} AS part
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), {_PLAN}) GROUP BY part""")
 def range_partitions(spark, sf_dir):
-    array = embeddings(spark, sf_dir).records(0, 500)
-    plan = ranges.key_ranges((500, 64), (2, 16), parts=4)
-    keyed = ranges.with_partition(tiles.tile_agg(array, (2, 16), "count"), plan)
+    plan = ranges.key_ranges((_vectors(spark, sf_dir), 64), (2, 16), parts=4)
+    keyed = ranges.with_partition(tiles.tile_agg(embeddings(spark, sf_dir), (2, 16), "count"), plan)
     return keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n_keys"), F.min("g0").alias("first_g0"), F.max("g0").alias("last_g0"))
 
 
-@query("""SELECT DISTINCT (vec_id // 40)::INT AS slab, least((vec_id // 2) * 4 // (63 * 4), 3)::INT AS part FROM embeddings WHERE vec_id < 500""")
+@query(f"SELECT DISTINCT (vec_id // 40)::INT AS slab, {_PART} AS part FROM embeddings, {_PLAN}")
 def slab_dependencies(spark, sf_dir):
-    slabs = _read(spark, sf_dir, "embeddings").where("vec_id < 500").groupBy(F.expr("vec_id div 40").cast("int").alias("slab")).agg(F.min("vec_id").alias("low"), (F.max("vec_id") + 1).alias("high"))
-    return ranges.dependencies(slabs, ranges.key_ranges((500, 64), (2, 16), parts=4), (2, 16))
+    slabs = _read(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 40").cast("int").alias("slab")).agg(F.min("vec_id").alias("low"), (F.max("vec_id") + 1).alias("high"))
+    return ranges.dependencies(slabs, ranges.key_ranges((_vectors(spark, sf_dir), 64), (2, 16), parts=4), (2, 16))
 
 
 @query("""SELECT coalesce(g0, -1) AS g0, coalesce(g1, -1) AS g1, result, n_cells FROM (SELECT (l_orderkey // 100)::INT AS g0, ((l_linenumber - 1) // 2)::INT AS g1,
@@ -215,8 +225,8 @@ def netcdf_round_trip(spark, sf_dir):
     """Cells written as NetCDF-3 files, a range of records in each, and read back. A file's own corner is its first record."""
     array, folder = embeddings(spark, sf_dir), new_path(spark, "netcdf")
     spark.dataSource.register(NetCDF3)
-    n = array.df.agg(F.max("d0")).first()[0] + 1
-    parts = max(1, min(200, n // 100))
+    n = _vectors(spark, sf_dir)
+    parts = max(1, n // 100)  # about 100 records a file
     dealt = array.df.withColumn("part", F.expr(f"least(d0 div {-(-n // parts)}, {parts - 1})").cast("int")).repartitionById(parts, F.col("part")).drop("part")
     dealt.write.format("netcdf3").option("variable", "embedding").mode("append").save(folder)
     return spark.read.format("netcdf3").option("variable", "embedding").option("align", 8).load(folder)
