@@ -12,7 +12,7 @@ from tilewise.functions import shapes
 from tilewise.operators import coords, tiles
 from tilewise.operators.model import ArrayFrame, concat
 from tilewise.plans import ranges
-from tilewise.sources import generator, netcdf3
+from tilewise.sources import generator, netcdf3, text
 from tilewise.streaming.early import early_medians
 
 SHAPES = st.lists(st.integers(1, 6), min_size=1, max_size=5)
@@ -226,3 +226,90 @@ def test_netcdf_appends_overwrites_and_corners(spark, tmp_path):
     with pytest.raises(Exception, match="2\\*\\*53"):
         save(spark.range(1).selectExpr("CAST(0 AS INT) AS d0", "9007199254740993L AS value").coalesce(1), "append")
     assert load() == rows(40, 44) and not list(tmp_path.glob("cells/_*"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparisons_of_records_reach_the_scan(spark, tmp_path):
+    for k in range(3):
+        generator.write_incrementing(f"{tmp_path}/f{k}.nc", (10, 3), ["t", "x"])
+    scan = lambda **o: netcdf3.scan(spark, f"file://{tmp_path}", variable="windspeed1", numPartitions=5, **o)
+    whole = scan()
+    assert whole.rdd.getNumPartitions() == 15
+    for text, n in (("t >= 3 AND t < 5", 2), ("t = 12", 1), ("t > 27", 1), ("t <= 1", 1), ("t IN (13, 15)", 2), ("t = 3 AND x > 1", 1), ("x = 1", 15), ("t = 7 OR t = 29", 15), ("t <> 4", 15)):
+        part = scan().where(text)
+        assert part.rdd.getNumPartitions() == n, text
+        assert sorted(map(tuple, part.collect())) == sorted(map(tuple, spark.createDataFrame(whole.collect()).where(text).collect()))
+    assert scan().where("t > 100").count() == scan().where("t = NULL").count() == 0
+    assert scan(records="2,9").where("t > 4").agg(F.min("t"), F.max("t")).first()[:] == (5, 8)
+
+
+def test_several_variables_and_file_names(spark, tmp_path):
+    for k, n in enumerate((4, 3)):
+        generator.write_incrementing(f"{tmp_path}/f{k}.nc", (n, 3, 5), ["t", "x", "y"], unlimited=k == 0)
+    found = netcdf3.scan(spark, f"{tmp_path}", variable="windspeed1,y,t", fileColumn="file")
+    assert found.columns == ["t", "x", "y", "windspeed1", "y_value", "t_value", "file"]
+    local = lambda t: t if t < 4 else t - 4
+    want = [(t, x, y, local(t) * 15 + x * 5 + y, float(y), local(t), f"f{t // 4}.nc") for t in range(7) for x in range(3) for y in range(5)]
+    assert sorted((*r[:6], r["file"].rpartition("/")[2]) for r in found.collect()) == want
+    assert ranges.by_file(found, 3).withColumn("p", F.spark_partition_id()).groupBy("file").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    for options, message in (({"variable": "y,windspeed1"}, "other dimensions"), ({"variable": "windspeed1", "fileColumn": "X"}, "one name"), ({"variable": " "}, "is needed")):
+        with pytest.raises(Exception, match=message):
+            netcdf3.scan(spark, f"{tmp_path}", **options).count()
+
+
+def test_partitions_by_bytes(spark, tmp_path):
+    generator.write_incrementing(f"{tmp_path}/a.nc", (10, 3, 5), ["t", "x", "y"])  # 60 bytes a record
+    cut = lambda **o: [tuple(r)[2:] for r in netcdf3.describe_partitions(spark, f"{tmp_path}/a.nc", variable="windspeed1", **o).collect()]
+    assert cut(maxPartitionBytes="300") == [(0, 5, 0, 75), (5, 10, 5, 75)]
+    assert cut(maxPartitionBytes="1") == [(t, t + 1, t, 15) for t in range(10)]
+    assert cut(maxPartitionBytes="1", align="4", records="1,9") == [(1, 4, 1, 45), (4, 8, 4, 60), (8, 9, 8, 15)]
+
+
+@pytest.mark.parametrize("shape,tile", [((7, 10), (3, 4)), ((6, 4, 5), (2, 2, 5)), ((5,), (2,)), ((3, 4), (5, 9))])
+def test_aligned_medians_without_a_shuffle(spark, tmp_path, shape, tile):
+    dims = [f"d{i}" for i in range(len(shape))]
+    generator.write_incrementing(f"{tmp_path}/a.nc", shape, dims)
+    slabs = netcdf3.scan(spark, f"{tmp_path}", variable="windspeed1", layout="slabs", align=tile[0], numPartitions=2)
+    got = tiles.merge_median(slabs, (tile[0], *shape[1:]), tile, len(shape))
+    assert "Exchange" not in plan_of(got)
+    want = tiles.tile_agg(netcdf3_cells(spark, tmp_path, dims), tile)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def netcdf3_cells(spark, folder, dims):
+    return ArrayFrame.of(netcdf3.scan(spark, f"{folder}", variable="windspeed1"), dims)
+
+
+def test_slabs_of_files_that_cut_tiles_are_refused(spark, tmp_path):
+    for k in range(2):
+        generator.write_incrementing(f"{tmp_path}/f{k}.nc", (3, 2), ["t", "x"])
+    scan = lambda **o: netcdf3.scan(spark, f"{tmp_path}", variable="windspeed1", layout="slabs", **o)
+    assert scan(align=3).count() == 2
+    for options, message in (({"align": 2}, "inside a tile"), ({"multiFileMode": "combine"}, "over each other"), ({"fillAsNull": "true"}, "without nulls")):
+        with pytest.raises(Exception, match=message):
+            scan(**options).count()
+
+
+def test_tiles_of_boxes(spark):
+    rows = [(0, 2, 7, 0, 1), (1, -3, 1, 4, 9), (2, 5, 5, 0, 3), (3, None, 4, 0, 1)]
+    boxes = spark.createDataFrame(rows, "id int, a int, b int, c int, d int")
+    want = {}
+    for k, a, b, c, d in rows[:3]:
+        for x, y in itertools.product(range(a, b), range(c, d)):
+            want[(k, x // 3, y // 4)] = want.get((k, x // 3, y // 4), 0) + 1
+        if a < b:
+            first, n = shapes.tiles_of_box((a, c), (b - a, d - c), (3, 4))
+            assert {g[1:] for g in want if g[0] == k} == set(itertools.product(*(range(f, f + m) for f, m in zip(first, n))))
+    got = ranges.tiles_of_boxes(boxes, ["a", "c"], ["b", "d"], (3, 4)).collect()
+    assert {(r["id"], r["g0"], r["g1"]): r["n_cells"] for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError, match="these names"):
+        ranges.tiles_of_boxes(boxes.withColumn("G0", F.lit(1)), ["a"], ["b"], (3,))
+
+
+def test_text_lines(spark):
+    df = spark.createDataFrame([(0, 1, 5, "a.nc"), (2, 3, None, None)], "g0 int, g1 int, result int, file string")
+    lines = [r["value"] for r in text.text_lines(df, (2, 36), "w", file=F.col("file")).collect()]
+    assert lines == ["a.nc@w@[0, 1],[2, 36]\tvalues = 5", "@w@[2, 3],[2, 36]\tvalues = null"]

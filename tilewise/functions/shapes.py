@@ -52,12 +52,8 @@ def box_and(a: tuple[Shape, Shape], b: tuple[Shape, Shape]) -> tuple[Shape, Shap
     return corner, tuple(max(0, e - c) for c, e in zip(corner, end))
 
 
-def merge_ranges(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Half-open ranges with those that touch joined."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(r for r in ranges if r[0] < r[1]):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
+def tiles_of_box(corner: Sequence[int], shape: Sequence[int], tile: Sequence[int]) -> tuple[Shape, Shape]:
+    """The tiles that a box meets, as a box of keys (corner, shape)."""
+    first = tile_of(corner, tile)
+    last = tile_of([c + n - 1 for c, n in zip(corner, checked(shape), strict=True)], tile)
+    return first, tuple(b - a + 1 for a, b in zip(first, last))

@@ -39,7 +39,7 @@ class ArrayFrame:
         return replace(self, df=self.df.where(condition))
 
     def records(self, low: int | None = None, high: int | None = None) -> ArrayFrame:
-        """Cells whose first coordinate is in [low, high): an exact filter, which the scan gets to see."""
+        """Cells whose first coordinate is in [low, high): an exact filter, which Parquet and `netcdf3.scan` get to see."""
         return self.where(in_records(self.dims[0], low, high))
 
     def cells(self) -> DataFrame:

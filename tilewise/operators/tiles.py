@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import linear_id, tile_key
+from ..functions.columns import tile_key
 from ..functions.shapes import checked
 from .model import ArrayFrame
 
@@ -59,21 +60,11 @@ def operator(name: str) -> Callable[[str], Column]:
         raise ValueError(f"no operator {name}; there are {', '.join(sorted(OPERATORS))}") from None
 
 
-def whole_cells(array: ArrayFrame, tile: Sequence[int]) -> Column:
-    """Cells that a tile (by its key columns) has when complete: fewer at the array's edges."""
-    if array.shape is None:
-        return F.lit(math.prod(tile)).cast("long")
-    sides = [F.least(F.lit(e), F.lit(n) - F.col(f"g{i}") * e).cast("long") for i, (e, n) in enumerate(zip(tile, array.shape))]
-    out = sides[0]
-    for s in sides[1:]:
-        out = out * s
-    return out
-
-
 def tile_agg(array: ArrayFrame, tile: Sequence[int], op: str | dict[str, str] = "median", by: Sequence[str] = (), drop_partial: bool = False) -> DataFrame:
     """A row for each tile: g0, ..., result (or a column for each name of a dict name -> operator), n_cells, is_complete.
 
-    Edge tiles hold what the array has there; is_complete compares n_cells with the tile's full size."""
+    Edge tiles hold what the array has there; is_complete compares n_cells with the tile's full size, so in a sparse array
+    with repeated cells it says that there are enough values, not that no cell is missing."""
     tile = checked(tile)
     ops = {"result": op} if isinstance(op, str) else op
     keys = tile_key(array.dims, tile)
@@ -107,9 +98,21 @@ def sliding(array: ArrayFrame, window: int, op: str = "average") -> DataFrame:
     return spread.groupBy("start", *rest).agg(operator(op)(array.value).alias("result"), F.count(F.lit(1)).alias("n_cells"))
 
 
+def same_tiles(block: np.ndarray, tile: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tiles of a block, those of one size at once (whole ones, then what each edge cuts off): (keys by dimension, cells by tile)."""
+    whole = [n // e for n, e in zip(block.shape, tile)]
+    sides = [[(0, w, e)] * (w > 0) + [(w, 1, n - w * e)] * (n > w * e) for n, w, e in zip(block.shape, whole, tile)]
+    for part in itertools.product(*sides):
+        cells = block[tuple(slice(k * e, k * e + n * size) for (k, n, size), e in zip(part, tile))]
+        cells = cells.reshape([x for _, n, size in part for x in (n, size)])
+        d = len(part)
+        cells = cells.transpose(*range(0, 2 * d, 2), *range(1, 2 * d, 2)).reshape(math.prod(n for _, n, _ in part), -1)
+        yield np.indices([n for _, n, _ in part]).reshape(d, -1) + np.array([[k] for k, _, _ in part]), cells
+
+
 def merge_median(slabs: DataFrame, shape: Sequence[int], tile: Sequence[int], dims: int, value: str = "values", low: str = "low") -> DataFrame:
     """Upper medians without a shuffle, from slabs that hold whole tiles along the first dimension: rows (low, values), the
-    records from `low` on, a multiple of the tile's length, as packed values in row-major order."""
+    records from `low` on, a multiple of the tile's length, as packed values in row-major order. Null slabs give no tiles."""
     shape, tile = checked(shape), checked(tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,22 +121,14 @@ def merge_median(slabs: DataFrame, shape: Sequence[int], tile: Sequence[int], di
                 block = packed.values.to_numpy(zero_copy_only=False).reshape(-1, *shape[1:])
                 if first % tile[0]:
                     raise ValueError(f"the slab at {first} begins inside a tile")
-                parts = [range(0, n, e) for n, e in zip(block.shape, tile)]
-                keys, medians, sizes = [], [], []
-                for corner in np.stack(np.meshgrid(*parts, indexing="ij"), axis=-1).reshape(-1, dims):
-                    cells = block[tuple(slice(c, c + e) for c, e in zip(corner, tile))].ravel()
-                    keys.append(corner // np.array(tile) + np.array([first // tile[0], *[0] * (dims - 1)]))
-                    medians.append(np.partition(cells, len(cells) // 2)[len(cells) // 2])
-                    sizes.append(len(cells))
-                grid = np.array(keys, np.int32).T
-                yield pa.RecordBatch.from_arrays([*map(pa.array, grid), pa.array(medians), pa.array(sizes, pa.int64())], names=[f"c{i}" for i in range(dims + 2)])
+                for keys, cells in same_tiles(block, tile):
+                    keys[0] += first // tile[0]
+                    middle = cells.shape[1] // 2
+                    medians = np.partition(cells, middle, axis=1)[:, middle]
+                    sizes = pa.repeat(pa.scalar(cells.shape[1], pa.int64()), len(cells))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys.astype(np.int32)), pa.array(medians), sizes], names=[f"c{i}" for i in range(dims + 2)])
 
     kind = slabs.schema[value].dataType.elementType.simpleString()
     schema = ", ".join(f"g{i} int" for i in range(dims)) + f", result {kind}, n_cells long"
-    out = slabs.select(low, value).mapInArrow(run, schema)
+    out = slabs.select(low, value).where(F.col(low).isNotNull() & F.col(value).isNotNull()).mapInArrow(run, schema)
     return out.withColumn("is_complete", F.col("n_cells") >= F.lit(math.prod(tile)))
-
-
-def last_in_order(array: ArrayFrame, shape: Sequence[int]) -> Column:
-    """The value of the last cell in row-major order."""
-    return F.max_by(array.value, linear_id(array.dims, shape))

@@ -76,3 +76,24 @@ def dependencies(slabs: DataFrame, ranges: KeyRanges, tile: Sequence[int]) -> Da
     most = F.lit(ranges.parts - 1).cast("long")
     meets = F.sequence(F.least(F.floor(first * st[0] / size), most), F.least(F.floor(((last + 1) * st[0] - 1) / size), most))
     return slabs.where("low < high").where(first <= last).select("slab", F.explode(meets.cast("array<int>")).alias("part"))
+
+
+def tiles_of_boxes(boxes: DataFrame, lows: Sequence[str], highs: Sequence[str], tile: Sequence[int]) -> DataFrame:
+    """Each row of `boxes` once for every tile that its box of cells [low, high) meets, with the tile's key g0, ... and n_cells, the
+    cells that both share. Empty boxes meet none."""
+    clash = {f"g{i}" for i in range(len(tile))} | {"n_cells"}
+    if clash & {c.lower() for c in boxes.columns}:
+        raise ValueError(f"columns of these names are added: {', '.join(sorted(clash))}")
+    out, cells = boxes, F.lit(1).cast("long")
+    for low, high in zip(lows, highs, strict=True):
+        out = out.where(F.col(low) < F.col(high))
+    for i, (low, high, e) in enumerate(zip(lows, highs, tile, strict=True)):
+        a, b = F.floor(F.col(low) / e).cast("int"), F.floor((F.col(high) - 1) / e).cast("int")
+        out = out.withColumn(f"g{i}", F.explode(F.sequence(a, b)))
+        cells = cells * (F.least(F.col(high), (F.col(f"g{i}") + 1) * e) - F.greatest(F.col(low), F.col(f"g{i}") * e))
+    return out.withColumn("n_cells", cells.cast("long"))
+
+
+def by_file(df: DataFrame, parts: int, column: str = "file") -> DataFrame:
+    """All rows of a file in one partition of `parts`."""
+    return df.repartition(parts, F.col(column))

@@ -11,7 +11,9 @@ from .operators import coords, tiles
 from .operators.model import ArrayFrame, concat
 from .plans import ranges
 from .session import importable, new_path
-from .sources.netcdf3 import NetCDF3
+from .sources import netcdf3
+from .sources.text import write_text
+from .streaming.early import early_medians
 
 TILE = (100, 2)
 #: Extents of the views; coordinates beyond them make no whole tile.
@@ -87,6 +89,17 @@ _plain("nulltest", "count(*) FILTER (l_quantity IS NULL)")
 _plain("count_distinct", "count(DISTINCT l_quantity)")
 
 
+@query(f"{_LINEITEM}, round(stddev_pop(l_quantity), 4) AS result, {_COUNTED}")
+def tiled_stddev(spark, sf_dir):
+    return tiles.tile_agg(lineitem(spark, sf_dir), TILE, "stddev").withColumn("result", F.round("result", 4))
+
+
+@query(f"{_LINEITEM}, to_json(list_sort(list(l_quantity::INT))) AS result, {_COUNTED}")
+def tiled_values(spark, sf_dir):
+    out = tiles.tile_agg(lineitem(spark, sf_dir), TILE, "values")
+    return out.withColumn("result", F.to_json(F.col("result").cast("array<int>")))
+
+
 @query("SELECT l_orderkey AS d0, l_linenumber - 1 AS d1, l_quantity AS value FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 900")
 def identity_of_records(spark, sf_dir):
     return lineitem(spark, sf_dir).records(100, 900).cells()
@@ -130,6 +143,14 @@ def coordinate_last_hit(spark, sf_dir):
     return coords.hits_by_tile(found, (50, 4), WIDE).drop("hits")
 
 
+@query(f"""SELECT {_KEYS}, to_json(list_transform(list_sort(list(struct_pack(at := l_partkey * 64 + l_linenumber - 1, v := l_extendedprice))), lambda x: round(x.v * 100)::BIGINT)) AS hits
+{_COORD} WHERE p_retailprice::FLOAT > 905::FLOAT AND p_retailprice::FLOAT < 960.5::FLOAT GROUP BY ALL""")
+def coordinate_all_hits(spark, sf_dir):
+    found = coords.coordinate_filter(priced(spark, sf_dir), prices(spark, sf_dir), "d0", gt=905, lt=960.5)
+    hits = coords.hits_by_tile(found, (50, 4), WIDE).drop("last_hit", "n_hits")
+    return hits.withColumn("hits", F.to_json(F.transform("hits", lambda x: F.round(x * 100).cast("long"))))
+
+
 @query("""SELECT (l_partkey // 50)::INT AS g0, count(*) FILTER (p_retailprice::FLOAT > 950::FLOAT) AS hits,
 count(*) FILTER (p_retailprice IS NULL OR p_retailprice::FLOAT <= 950::FLOAT) AS misses FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def hit_and_miss_counts(spark, sf_dir):
@@ -212,21 +233,86 @@ def sliding_average(spark, sf_dir):
     return out.select("start", F.col("d1").cast("long").alias("d1"), F.round("result", 5).alias("result"), "n_cells")
 
 
+@query("""SELECT o_orderkey AS order_key, g0::INT AS g0, g1::INT AS g1, (least(o_orderkey + 250, (g0 + 1) * 100) - greatest(o_orderkey, g0 * 100)) * (least(b, (g1 + 1) * 3) - greatest(a, g1 * 3)) AS n_cells
+FROM (SELECT o_orderkey, o_custkey % 5 AS a, o_custkey % 5 + 4 AS b FROM orders),
+LATERAL (SELECT unnest(generate_series(o_orderkey // 100, (o_orderkey + 249) // 100)) AS g0), LATERAL (SELECT unnest(generate_series(a // 3, (b - 1) // 3)) AS g1)""")
+def tiles_of_boxes(spark, sf_dir):
+    """A box of 250 by 4 cells at every order."""
+    order = F.col("o_orderkey")
+    boxes = _read(spark, sf_dir, "orders").select(order.alias("order_key"), (order + 250).alias("end"), (F.col("o_custkey") % 5).alias("a"), (F.col("o_custkey") % 5 + 4).alias("b"))
+    return ranges.tiles_of_boxes(boxes, ["order_key", "a"], ["end", "b"], (100, 3)).drop("end", "a", "b")
+
+
+def _embedding_files(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings as NetCDF-3 files of about 96 vectors each; returns their folder."""
+    array, folder = embeddings(spark, sf_dir), new_path(spark, "netcdf")
+    spark.dataSource.register(netcdf3.NetCDF3)
+    parts = -(-_vectors(spark, sf_dir) // 96)
+    dealt = array.df.withColumn("part", F.expr("d0 div 96").cast("int")).repartitionById(parts, F.col("part")).drop("part")
+    dealt.write.format("netcdf3").option("variable", "embedding").mode("append").save(folder)
+    return folder
+
+
 @query("""SELECT (vec_id // 8)::INT AS g0, (i // 16)::INT AS g1, list_sort(list(v))[count(*)::INT // 2 + 1] AS result, count(*) AS n_cells, count(*) >= 128 AS is_complete
 FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
 def aligned_median_without_shuffle(spark, sf_dir):
-    """From slabs of 8 vectors: only the vectors are dealt, once; their cells never are."""
-    slabs = _read(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("s")).agg(F.flatten(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).getField("embedding")).alias("values"))
-    return tiles.merge_median(slabs.select((F.col("s") * 8).alias("low"), "values"), (8, 64), (8, 16), 2)
+    """From a scan of slabs of 8 records: whole tiles lie in one row each, and nothing is dealt."""
+    slabs = netcdf3.scan(spark, _embedding_files(spark, sf_dir), variable="embedding", layout="slabs", align=8)
+    return tiles.merge_median(slabs, (8, 64), (8, 16), 2)
+
+
+@query("SELECT vec_id::INT AS d0, i::INT AS d1, v AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE vec_id >= 130 AND vec_id < 310")
+def netcdf_records(spark, sf_dir):
+    """Only these records are read: the comparison reaches the scan."""
+    cells = netcdf3.scan(spark, _embedding_files(spark, sf_dir), variable="embedding")
+    return ArrayFrame.of(cells, ["d0", "d1"]).records(130, 310).cells()
+
+
+@query("""SELECT d0, count(*) AS n_cells, round(sum(v), 3) AS embedding, any_value(norm) AS norm FROM (SELECT vec_id::INT AS d0, unnest(embedding)::DOUBLE AS v, (vec_id * 3)::INT AS norm FROM embeddings) GROUP BY d0""")
+def netcdf_two_variables(spark, sf_dir):
+    """An array and a coordinate variable of its first dimension as columns of one scan."""
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("d0"), "embedding")
+    folder = new_path(spark, "netcdf")
+
+    def write(batches):
+        import numpy as np
+
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                ids, values = part.column(0).to_numpy(), np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype("f4")
+                data = {"embedding": (["d0", "d1"], values, {}), "norm": (["d0"], (ids * 3).astype("i4"), {}), "id": (["d0"], ids.astype("i4"), {})}
+                store, at = netcdf3.open_store(folder)
+                store.create_dir(at, recursive=True)
+                netcdf3.write_file(f"{folder}/v-{ids[0]:09d}.nc", [("d0", len(ids)), ("d1", values.shape[1])], data, record="d0")
+                yield part.select(["d0"]).slice(0, 1)
+
+    vectors.mapInArrow(write, "d0 int").count()
+    cells = netcdf3.scan(spark, folder, variable="embedding,norm,id")
+    return cells.groupBy(F.col("id").alias("d0")).agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(F.col("embedding").cast("double")), 3).alias("embedding"), F.max("norm").alias("norm"))
+
+
+@query("""SELECT '@l_quantity@[' || l_orderkey // 100 || ', ' || (l_linenumber - 1) // 2 || '],[100, 2]' || chr(9) || 'values = ' || count(*) AS value FROM lineitem GROUP BY l_orderkey // 100, (l_linenumber - 1) // 2""")
+def tiles_as_text(spark, sf_dir):
+    folder = new_path(spark, "text")
+    write_text(tiles.tile_agg(lineitem(spark, sf_dir), TILE, "count"), folder, TILE, "l_quantity")
+    return spark.read.text(folder)
+
+
+@query("""SELECT (vec_id // 8)::INT AS g0, (i // 10)::INT AS g1, list_sort(list(v))[count(*)::INT // 2 + 1]::DOUBLE AS result, count(*) AS n_cells
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
+def early_tile_medians(spark, sf_dir):
+    """The cells as a stream of files; each tile's median is emitted when its last cell has come."""
+    array, n, folder = embeddings(spark, sf_dir), _vectors(spark, sf_dir), new_path(spark, "stream")
+    array.df.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(array.df.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
+    out = early_medians(stream, array.dims, (n, 64), (8, 10)).writeStream.format("parquet").outputMode("append")
+    run = out.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("g0 int, g1 int, result double, n_cells long").parquet(f"{folder}/out")
 
 
 @query("SELECT vec_id::INT AS d0, (i)::INT AS d1, v AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
 def netcdf_round_trip(spark, sf_dir):
     """Cells written as NetCDF-3 files, a range of records in each, and read back. A file's own corner is its first record."""
-    array, folder = embeddings(spark, sf_dir), new_path(spark, "netcdf")
-    spark.dataSource.register(NetCDF3)
-    n = _vectors(spark, sf_dir)
-    parts = max(1, n // 100)  # about 100 records a file
-    dealt = array.df.withColumn("part", F.expr(f"least(d0 div {-(-n // parts)}, {parts - 1})").cast("int")).repartitionById(parts, F.col("part")).drop("part")
-    dealt.write.format("netcdf3").option("variable", "embedding").mode("append").save(folder)
-    return spark.read.format("netcdf3").option("variable", "embedding").option("align", 8).load(folder)
+    return spark.read.format("netcdf3").option("variable", "embedding").option("align", 8).load(_embedding_files(spark, sf_dir))

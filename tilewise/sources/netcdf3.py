@@ -1,13 +1,17 @@
 """NetCDF-3 classic files (CDF-1 and CDF-2) as a Spark data source, for reading and writing.
 
-    spark.dataSource.register(NetCDF3)
+    scan(spark, "file:///data/*.nc", variable="windspeed1").where("time >= 100 AND time < 200")
     spark.read.format("netcdf3").option("variable", "windspeed1").load("file:///data/*.nc")
     df.write.format("netcdf3").option("variable", "var1").mode("append").save("file:///out")
 
-Reading gives a row for each cell: an int column for each dimension (by its name) and `value`. Options:
-`variable` (required), `records` ("low,high", only these records are read), `numPartitions`, `align` (slabs are
-multiples of so many records), `multiFileMode` (concat: files lie one after another along the first dimension;
-combine: over each other), `ignoreInvalid` (skip what isn't NetCDF-3), `fillAsNull`. Writing makes a dense file
+Reading gives a row for each cell: an int column for each dimension (by its name) and `value`. `scan` registers the source and
+lets Spark push comparisons of the first dimension into it, so that other records are never read. Options:
+`variable` (required; several by commas give a column for each, by its name: the first has all dimensions, the others some of
+them, in that order, and are repeated along the rest; one that has a dimension's name is called name_value), `records` ("low,high", only these records are read), `numPartitions` (for
+a file), `maxPartitionBytes` (instead of it), `align` (partitions are multiples of so many records), `layout` (cells; slabs: a
+row (low, values) for each `align` records, packed in row-major order), `fileColumn` (adds the file's name), `multiFileMode`
+(concat: files lie one after another along the first dimension; combine: over each other), `ignoreInvalid` (skip what isn't
+NetCDF-3), `fillAsNull`. Writing makes a dense file
 for each partition, over the box that its cells span; absent cells get the fill value. Dimensions are all
 columns but `value`. Files are opened by their URI: local folders and every store Arrow knows.
 """
@@ -18,13 +22,15 @@ import fnmatch
 import math
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, ShortType, StringType, StructField, StructType
 
 from ..plans.ranges import record_slabs
 
@@ -243,72 +249,173 @@ class Slab(InputPartition):
         self.file, self.low, self.high, self.offset = file, low, high, offset
 
 
+def wanted(options: dict) -> list[str]:
+    names = [n.strip() for n in options.get("variable", "").split(",") if n.strip()]
+    if not names:
+        raise ValueError("option variable is needed")
+    return names
+
+
+def in_slabs(options: dict) -> bool:
+    layout = options.get("layout", "cells")
+    if layout not in ("cells", "slabs"):
+        raise ValueError(f"no such layout: {layout}")
+    if layout == "slabs" and (options.get("fillasnull", "false").lower() == "true" or len(wanted(options)) > 1):
+        raise ValueError("slabs hold the packed values of one variable, without nulls")
+    return layout == "slabs"
+
+
 class Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
-        self.variable = options["variable"]
+        self.variables = wanted(options)
+        self.low, self.high = (int(x) for x in options["records"].split(",")) if options.get("records") else (None, None)
 
     def partitions(self) -> list[Slab]:
-        o = self.options
-        low, high = (int(x) for x in o["records"].split(",")) if o.get("records") else (None, None)
-        mode = o.get("multifilemode", "concat")
+        o, slabs = self.options, in_slabs(self.options)
+        mode, align = o.get("multifilemode", "concat"), int(o.get("align", 1))
         if mode not in ("concat", "combine"):
             raise ValueError(f"no such multiFileMode: {mode}")
+        files = usable_files(o["path"], o)
+        if slabs and mode == "combine" and len(files) > 1:
+            raise ValueError("slabs of files over each other don't hold whole tiles")
         out, offset = [], 0
-        for file in usable_files(o["path"], o):
-            head = read_header(file)
-            n, corner = head.shape(self.variable)[0], head.attributes.get("corner")
+        for file, head in files:
+            n, corner = head.shape(self.variables[0])[0], head.attributes.get("corner")
             start = offset if corner is None else int(corner[0])  # files of our own say where they begin
-            own = [None if x is None else x - start for x in (low, high)]
-            slabs = record_slabs(n, int(o.get("numpartitions", 8)), int(o.get("align", 1)), *own)
-            out += [Slab(file, a, b, start) for a, b in slabs]
+            if slabs and (start % align or any(corner[1:] if corner else ())):
+                raise ValueError(f"{file} begins inside a tile: no whole slabs of {align} records")
+            own = [None if x is None else x - start for x in (self.low, self.high)]
+            if "maxpartitionbytes" in o:
+                parts = -(-n * self._record_bytes(head) // max(1, int(o["maxpartitionbytes"])))
+            else:
+                parts = int(o.get("numpartitions", 8))
+            out += [Slab(file, a, b, start) for a, b in record_slabs(n, min(n, parts), align, *own)]
             offset += n if mode == "concat" and corner is None else 0
         return out
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+    def _record_bytes(self, head: Header) -> int:
+        """Bytes of the variables for each place along the first dimension."""
+        v = head.variable(self.variables[0])
+        found = [head.variable(n) for n in self.variables]
+        return sum(math.prod(head.shape(x.name)[1:]) * np.dtype(TYPES[CODES[x.kind]]).itemsize for x in found if x.dims[:1] == v.dims[:1])
+
+    def read(self, partition: Slab | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no record is left to read
+            return
         head = read_header(partition.file)
-        v, shape = head.variable(self.variable), head.shape(self.variable)
-        kind = np.dtype(TYPES[CODES[v.kind]])
+        first, shape = head.variable(self.variables[0]), head.shape(self.variables[0])
         row = math.prod(shape[1:])
-        corner = [partition.offset, *(int(x) for x in head.attributes.get("corner", [0] * len(shape))[1 : len(shape)])]
-        fill = (v.attributes.get("_FillValue") or [FILLS[v.kind]])[0] if self.options.get("fillasnull", "false").lower() == "true" else None
-        strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
-        step = max(1, BATCH_CELLS // max(1, row))
         store, at = open_store(partition.file)
-        types = [pa.int32()] * len(shape)
-        value = pa.from_numpy_dtype(kind.newbyteorder("=")) if v.kind != "i1" else pa.int16()
         with store.open_input_file(at) as f:
+            if in_slabs(self.options):
+                yield from self._slabs(f, head, first, partition)
+                return
+            corner = [partition.offset, *(int(x) for x in head.attributes.get("corner", [0] * len(shape))[1 : len(shape)])]
+            strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
+            step = max(1, BATCH_CELLS // max(1, row))
+            sides = {v.name: along(first, v) for v in (head.variable(n) for n in self.variables)}
+            fixed = {n: block(f, head, head.variable(n)) for n, kept in sides.items() if not kept[0]}
             for a in range(partition.low, partition.high, step):
                 b = min(a + step, partition.high)
-                if v.record and head.record_size != v.size:
-                    raw = b"".join(f.read_at(row * kind.itemsize, v.begin + r * head.record_size) for r in range(a, b))
-                else:
-                    raw = f.read_at((b - a) * row * kind.itemsize, v.begin + a * row * kind.itemsize)
-                if len(raw) != (b - a) * row * kind.itemsize:
-                    raise ValueError(f"{partition.file} is cut off")
-                cells = np.frombuffer(raw, kind).astype(kind.newbyteorder("="))
-                for k in range(0, len(cells), BATCH_CELLS):
-                    part = cells[k : k + BATCH_CELLS]
-                    number = a * row + k + np.arange(len(part), dtype=np.int64)
-                    dims = [(number // s) % n + c for s, n, c in zip(strides, shape, corner)]
-                    values = pa.array(part, mask=part == kind.type(fill)) if fill is not None else pa.array(part)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(d.astype(np.int32), t) for d, t in zip(dims, types)), values.cast(value)], names=self.schema.names)
-
-
-def usable_files(path: str, options: dict) -> list[str]:
+                cells = {}
+                for name, kept in sides.items():
+                    values = fixed[name] if name in fixed else block(f, head, head.variable(name), a, b)
+                    sized = iter(values.shape)
+                    values = values.reshape([next(sized) if k else 1 for k in kept])
+                    cells[name] = np.broadcast_to(values, (b - a, *shape[1:])).reshape(-1)
+                for k in range(0, (b - a) * row, BATCH_CELLS):
+                    number = a * row + np.arange(k, min(k + BATCH_CELLS, (b - a) * row), dtype=np.int64)
+                    out = [pa.array(((number // s) % n + c).astype(np.int32)) for s, n, c in zip(strides, shape, corner)]
+                    out += [self._column(head.variable(n), cells[n][k : k + BATCH_CELLS]) for n in self.variables]
+                    if "filecolumn" in self.options:
+                        out.append(pa.repeat(pa.scalar(partition.file), len(number)))
+                    yield pa.RecordBatch.from_arrays(out, names=self.schema.names)
+
+    def _column(self, v: Variable, part: np.ndarray) -> pa.Array:
+        mask = None
+        if self.options.get("fillasnull", "false").lower() == "true":
+            mask = part == part.dtype.type((v.attributes.get("_FillValue") or [FILLS[v.kind]])[0])
+        found = pa.array(part, mask=mask)
+        return found.cast(pa.int16()) if v.kind == "i1" else found
+
+    def _slabs(self, f, head: Header, v: Variable, partition: Slab) -> Iterator[pa.RecordBatch]:
+        align = int(self.options.get("align", 1))
+        row = math.prod(head.shape(v.name)[1:])
+        step = align * max(1, BATCH_CELLS // max(1, align * row))
+        a = partition.low
+        while a < partition.high:
+            b = min((a // step + 1) * step, partition.high)
+            values = self._column(v, block(f, head, v, a, b).reshape(-1))
+            cuts = [a, *range((a // align + 1) * align, b, align), b]
+            ends = pa.array([(c - a) * row for c in cuts], pa.int32())
+            lows = pa.array([c + partition.offset for c in cuts[:-1]], pa.int32())
+            yield pa.RecordBatch.from_arrays([lows, pa.ListArray.from_arrays(ends, values)], names=["low", "values"])
+            a = b
+
+
+class PruningReader(Reader):
+    """Also reads only the records that Spark's comparisons of the first dimension leave; Spark still checks every row."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == (self.schema.names[0],):
+                self._narrow(f)
+            yield f
+
+    def _narrow(self, f: Filter) -> None:
+        given = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+        known = [x for x in given if isinstance(x, int)]
+        if not known:
+            return
+        least, most = min(known), max(known)
+        low = {EqualTo: least, In: least, GreaterThan: least + 1, GreaterThanOrEqual: least}.get(type(f))
+        high = {EqualTo: most + 1, In: most + 1, LessThan: most, LessThanOrEqual: most + 1}.get(type(f))
+        if low is not None:
+            self.low = low if self.low is None else max(self.low, low)
+        if high is not None:
+            self.high = high if self.high is None else min(self.high, high)
+
+
+def along(first: Variable, other: Variable) -> list[bool]:
+    """For each dimension of the first variable whether the other one has it."""
+    kept = [d in other.dims for d in first.dims]
+    if [d for d, k in zip(first.dims, kept) if k] != other.dims:
+        raise ValueError(f"{other.name} has other dimensions than {first.name}, or another order of them")
+    return kept
+
+
+def block(f, head: Header, v: Variable, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Records [a, b) of a variable, all by default."""
+    shape, kind = head.shape(v.name), np.dtype(TYPES[CODES[v.kind]])
+    b = b if b is not None else shape[0] if shape else 1
+    row = math.prod(shape[1:]) * kind.itemsize
+    if v.record and head.record_size != v.size:
+        raw = b"".join(f.read_at(row, v.begin + r * head.record_size) for r in range(a, b))
+    else:
+        raw = f.read_at((b - a) * row, v.begin + a * row)
+    if len(raw) != (b - a) * row:
+        raise ValueError(f"the file is cut off in {v.name}")
+    return np.frombuffer(raw, kind).astype(kind.newbyteorder("=")).reshape((b - a, *shape[1:]) if shape else ())
+
+
+def usable_files(path: str, options: dict) -> list[tuple[str, Header]]:
+    skip = options.get("ignoreinvalid", "false").lower() == "true"
+
+    def opened(file: str) -> Header | None:
+        try:
+            return read_header(file)
+        except ValueError as e:
+            if skip:
+                return None
+            raise ValueError(f"{file}: {e}") from None
+
     files = find_files(path)
-    if options.get("ignoreinvalid", "false").lower() == "true":
-        kept = []
-        for f in files:
-            try:
-                read_header(f)
-                kept.append(f)
-            except ValueError:
-                pass
-        files = kept
-    if not files:
+    with ThreadPoolExecutor(32) as pool:  # a header is a request to the store: many wait at once
+        found = [(f, h) for f, h in zip(files, pool.map(opened, files)) if h is not None]
+    if not found:
         raise ValueError(f"no NetCDF-3 file at {path}")
-    return files
+    return found
 
 
 @dataclass
@@ -390,22 +497,50 @@ class NetCDF3(DataSource):
 
     def schema(self) -> StructType:
         o = self._options()
-        if "variable" not in o:
-            raise ValueError("option variable is needed")
-        head = read_header(usable_files(o["path"], o)[0])
-        names, kind = head.names(o["variable"]), head.variable(o["variable"]).kind
-        if kind not in SPARK_TYPES:
+        names, (_, head) = wanted(o), usable_files(o["path"], o)[0]
+        kinds = [head.variable(n).kind for n in names]
+        if any(k not in SPARK_TYPES for k in kinds):
             raise ValueError("text variables aren't arrays of numbers")
-        return StructType([*(StructField(n, IntegerType()) for n in names), StructField("value", SPARK_TYPES[kind])])
+        if in_slabs(o):
+            return StructType([StructField("low", IntegerType()), StructField("values", ArrayType(SPARK_TYPES[kinds[0]], False))])
+        dims = head.names(names[0])
+        out = [StructField(n, IntegerType()) for n in dims]
+        called = [n + "_value" if n in dims else n for n in names] if len(names) > 1 else ["value"]
+        out += [StructField(n, SPARK_TYPES[k]) for n, k in zip(called, kinds)]
+        if "filecolumn" in o:
+            out.append(StructField(o["filecolumn"], StringType()))
+        if len({f.name.lower() for f in out}) < len(out):
+            raise ValueError(f"two columns of one name: {', '.join(f.name for f in out)}")
+        return StructType(out)
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(schema, self._options())
+        o = self._options()
+        return (PruningReader if o.get("pushdown", "false").lower() == "true" and not in_slabs(o) else Reader)(schema, o)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(schema, self._options(), overwrite)
 
 
+def scan(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The source with push-down of comparisons of the first dimension."""
+    spark.dataSource.register(NetCDF3)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("netcdf3").options(pushdown="true", **options).load(path)
+
+
 def describe(path: str) -> dict[str, tuple[int, ...]]:
     """Variables of a file and their shapes."""
     head = read_header(find_files(path)[0])
     return {n: head.shape(n) for n in head.variables}
+
+
+def describe_partitions(spark: SparkSession, path: str, **options) -> DataFrame:
+    """How a scan would be cut: partition, file, low and high (records of the file), first (the place of `low` in the array), cells."""
+    source = NetCDF3({**options, "path": path})
+    reader, heads = source.reader(source.schema()), {}
+    rows = []
+    for k, s in enumerate(reader.partitions()):
+        heads[s.file] = heads.get(s.file) or read_header(s.file)
+        row = math.prod(heads[s.file].shape(reader.variables[0])[1:])
+        rows.append((k, s.file, s.low, s.high, s.low + s.offset, (s.high - s.low) * row))
+    return spark.createDataFrame(rows, "partition int, file string, low long, high long, first long, cells long")

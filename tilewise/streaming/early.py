@@ -16,23 +16,23 @@ from ..functions.shapes import checked, expected_cells
 
 def early_medians(cells: DataFrame, dims: Sequence[str], shape: Sequence[int], tile: Sequence[int], value: str = "value", records: tuple[int, int] | None = None) -> DataFrame:
     """From a stream of cells: g0, ..., result, n_cells, each tile once. Edge tiles, and tiles cut by the range of `records`,
-    are complete with what the array has there. The state of a tile is the values seen so far, until it is complete."""
+    are complete with what the array has there. The state of a tile is the values seen so far, packed, and ends when it is
+    complete: each cell arrives once, as a file source with a checkpoint has it."""
     shape, tile = checked(shape), checked(tile)
     keys = [f"g{i}" for i in range(len(tile))]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = np.array(state.get[0], float) if state.exists else np.zeros(0)
-        if len(seen) == 1 and np.isnan(seen[0]):
-            return  # emitted before
-        values = np.concatenate([seen, *(b["v"].to_numpy(float) for b in batches)])
+        arrived = [np.frombuffer(state.get[0], float)] if state.exists else []
+        values = np.concatenate([*arrived, *(b["v"].to_numpy(float) for b in batches)])
         if len(values) >= expected_cells(shape, tile, key, records):
-            state.update(([float("nan")],))
+            if state.exists:
+                state.remove()
             middle = len(values) // 2
             yield pd.DataFrame([[*key, float(np.partition(values, middle)[middle]), len(values)]], columns=[*keys, "result", "n_cells"])
         else:
-            state.update((values.tolist(),))
+            state.update((values.tobytes(),))
 
     keyed = cells.where(F.lit(True) if records is None else F.col(dims[0]).between(records[0], records[1] - 1))
     keyed = keyed.select(*tile_key(dims, tile), F.col(value).cast("double").alias("v"))
     schema = ", ".join(f"{k} int" for k in keys) + ", result double, n_cells long"
-    return keyed.groupBy(*keys).applyInPandasWithState(step, schema, "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy(*keys).applyInPandasWithState(step, schema, "seen binary", "append", GroupStateTimeout.NoTimeout)
