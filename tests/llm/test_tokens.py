@@ -114,6 +114,18 @@ def test_token_files_odd_rows(odd, none):
     assert token_files.round_trip(none).count() == 0
 
 
+def test_token_files_of_a_hot_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "READ_BYTES", 64)
+    rows = [(i, f"text number {i}") for i in range(200)] + [(77, "a copy")] * 150
+    shards = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), storage.new_path(spark, "files"), shards=8)
+    sizes = [r["n_docs"] for r in shards.collect()]
+    assert sum(sizes) == 350 and max(sizes) < 80
+    got = sorted(token_files.read(shards, keep_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((i, ids(t) + [2]) for i, t in rows)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(350)]
+
+
 @pytest.mark.parametrize("block", [4, 1000, 1 << 20])
 def test_separator_scan(odd, none, block):
     if block == 4:

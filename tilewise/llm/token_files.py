@@ -14,8 +14,12 @@ The dictionary is fitted on a bounded sample (`SAMPLE_DOCS` documents, the small
 doc_id, `SAMPLE_IDS` ids from the middle of each); it changes sizes only, never what is read.
 
 Defined cases: null text is an empty text (its end id alone); an empty table gives no shards and
-no rows; repeated doc_ids lie side by side, ordered by a hash of their text; a null doc_id comes
-first and is stored as the least 64-bit integer; extra columns are ignored.
+no rows; repeated doc_ids lie side by side, ordered by a hash of their text, but those of a doc_id
+that fills several shards are dealt over these in no order; a null doc_id comes first and is stored
+as the least 64-bit integer; extra columns are ignored.
+
+A shard's file has a name of its task's attempt. The table that `write` returns names the files that
+count; one that a lost attempt left behind isn't among them.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ MAGIC = b"ZTOKIDS1"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2_000, 2_000, 64 << 10
 #: Compressed bytes of a shard, about.
 SHARD_BYTES = 64 << 20
+#: Shards of a data set at most (larger corpora get larger shards): the driver holds a bound for each, and a sketch of ten times as many ids.
+MOST_SHARDS = 16_384
+#: Bytes of frames that are read at once, about.
+READ_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -51,15 +59,20 @@ def filesystem(path: str):
 
 
 def encoded(docs: DataFrame, dictionary: bytes, bounds: list[int], end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, frame, text_hash, shard) of each document of `docs` (doc_id, text). A shard begins above each bound."""
+    """(doc_id, n_tokens, frame, text_hash, shard) of each document of `docs` (doc_id, text). A shard begins above each bound; a
+    bound that comes m + 1 times is a doc_id with m or more shards full, and its rows are dealt over the m that lie between."""
     path = path or tokens.tokenizer_path()
+    limits = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         enc, squeeze = tokens.encoder(path), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
         for batch in batches:
-            shard = np.searchsorted(np.array(bounds, np.int64), batch.column(0).to_numpy(), side="left").astype(np.int32)
+            doc_ids = batch.column(0).to_numpy()
+            shard = np.searchsorted(limits, doc_ids, side="left")
+            spare = np.searchsorted(limits, doc_ids, side="right") - shard - 1
+            shard = (shard + (spare > 0) * (1 + batch.column(3).to_numpy() % np.maximum(spare, 1))).astype(np.int32)
             for first, texts in tokens.chunks(batch.column(1)):
                 ids, sizes = enc.encode(texts)
                 ends = np.cumsum(sizes)
@@ -68,7 +81,7 @@ def encoded(docs: DataFrame, dictionary: bytes, bounds: list[int], end_id: int =
                 frames = [squeeze.compress(flat[a : a + n].data) for a, n in zip(starts, sizes)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes), pa.array(frames, pa.binary()), batch.column(2).slice(first, len(texts)), pa.array(shard[first : first + len(texts)])], names=["doc_id", "n_tokens", "frame", "text_hash", "shard"])
 
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
     return plain.mapInArrow(run, "doc_id long, n_tokens long, frame binary, text_hash long, shard int")
 
 
@@ -99,10 +112,10 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
     raw = train(docs, end_id, path)
     if shards is None:
         size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, size // SHARD_BYTES, min(32, size >> 22))
+        shards = min(MOST_SHARDS, max(1, size // SHARD_BYTES, min(32, size >> 22)))
     # quantiles of the ids alone: a range shuffle would tokenise everything a second time to find them
     steps = [k / shards for k in range(1, shards)]
-    bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", steps, 0.1 / shards)}) if steps else []
+    bounds = sorted(int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", steps, 0.1 / shards)) if steps else []
     frames = encoded(docs, raw, bounds, end_id, path)
     store, at = filesystem(folder)
     store.create_dir(at, recursive=True)
@@ -115,8 +128,8 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
 
         shard = TaskContext.get().partitionId()
         store, at = filesystem(folder)
-        out, index, end, name = None, [], len(MAGIC), f"shard-{shard:06d}.zids"
-        own = f"{at}/_{name}-{uuid.uuid4().hex}"  # a repeated task writes its own file and puts it in place at the end
+        out, index, end, name = None, [], len(MAGIC), f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.zids"
+        own = f"{at}/_{name}"  # in place under its name when it is whole
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -166,6 +179,17 @@ class Shard:
         start, end = int(self.starts[row]), int(self.index[row, 1])
         return np.frombuffer(self.opened.decompress(self.file.read_at(end - start, start)), "<u4")
 
+    def ranges(self, most: int = 1000) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """All documents' ids in order: (row of the first, ids of each), about `READ_BYTES` of the file at a time."""
+        first, n = 0, len(self.index)
+        while first < n:
+            last = int(np.searchsorted(self.index[:, 1], self.starts[first] + READ_BYTES, side="right"))
+            last = min(max(last, first + 1), first + most)
+            raw = memoryview(self.file.read_at(int(self.index[last - 1, 1] - self.starts[first]), int(self.starts[first])))
+            cuts = self.starts[first:last] - self.starts[first], self.index[first:last, 1] - self.starts[first]
+            yield first, [np.frombuffer(self.opened.decompress(raw[a:b]), "<u4") for a, b in zip(*cuts)]
+            first = last
+
     def find(self, doc_id: int) -> list[np.ndarray]:
         """The ids of the documents with this doc_id, from their frames alone."""
         a, b = (int(np.searchsorted(self.index[:, 0], doc_id, side)) for side in ("left", "right"))
@@ -183,14 +207,13 @@ def read(shards: DataFrame, keep_ids: bool = False) -> DataFrame:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(file)
                 starts = base + np.cumsum(shard.index[:, 2]) - shard.index[:, 2]
-                for first in range(0, len(shard.index), 1000):
-                    part = shard.index[first : first + 1000]
-                    ids = [shard.ids(first + i) for i in range(len(part))]
+                for first, ids in shard.ranges():
+                    part = shard.index[first : first + len(ids)]
                     wrong = [int(d) for d, n, x in zip(part[:, 0], part[:, 2], ids) if len(x) != n]
                     if wrong:
                         raise ValueError(f"{file}: frames and index differ at doc_id {wrong[0]}")
                     crc = np.fromiter((zlib.crc32(x) for x in ids), np.int64, len(ids))
-                    out = [pa.array(part[:, 0], mask=part[:, 0] == NULL_ID), pa.array(starts[first : first + 1000]), pa.array(part[:, 2]), pa.array(crc)]
+                    out = [pa.array(part[:, 0], mask=part[:, 0] == NULL_ID), pa.array(starts[first : first + len(ids)]), pa.array(part[:, 2]), pa.array(crc)]
                     if keep_ids:
                         out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
