@@ -396,6 +396,10 @@ def test_neighbours(spark):
         hit += len(set(best) & set(own.vec_id))
         assert own["rank"].tolist() == list(range(1, 21)) and np.allclose(own.score, [x[i] @ x[q] for i in own.vec_id])
     assert hit / len(got) >= 0.9
+    beside = df.selectExpr("*", "'x' AS v", "1 AS cell", "2 AS rank", "vec_id AS query_id")  # names of the operator's own columns
+    same = neighbours.search(beside, F.col("vec_id") % 20 == 0).toPandas()
+    order = lambda t: t.sort_values(["query_id", "rank"]).reset_index(drop=True)
+    assert order(same).equals(order(got))
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["score"]) for r in neighbours.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 5.0), (1, 4.0)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0

@@ -33,9 +33,11 @@ BLOCK_LEAST, BLOCK_MOST = 256, 4096
 
 
 def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v: array<double>) of the vectors that take part."""
+    """(vec_id, v) of the vectors that take part: as 32-bit floats where they are stored so, else in double precision."""
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = F.col(column).cast("array<double>")
+    v = F.col(column)
+    if df.schema[column].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     found = df.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0))
     common = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return found.where(F.size("v") == (common["d"] if common else 0))
@@ -69,7 +71,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, sample: np.ndarray, rows: int, k: int):
         d = sample.shape[1]
-        self.cells = kmeans(sample, int(max(1, min(65_536, len(sample) // 8, round(rows**0.5)))))
+        self.cells = kmeans(sample, int(max(1, min(65_536, len(sample) // 8, round(2 * rows**0.5)))))
         self.cuts = [a for a in np.array_split(np.arange(d), min(PARTS, d)) if len(a)]
         cell = _nearest(sample, self.cells)
         rest = sample - self.cells[cell]
@@ -105,7 +107,7 @@ class Model:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
@@ -115,6 +117,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(vectors, column)
+    kind = good.schema["v"].dataType.simpleString()
     rows = good.count()
     if rows == 0:
         return spark.createDataFrame([], schema)
@@ -128,7 +131,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
                 cell, codes = shared.value.file(_matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "cell", "code"])
 
-    filed = written(good.mapInArrow(file, "vec_id long, v array<double>, cell int, code binary"), "inverted-file")
+    filed = written(good.mapInArrow(file, f"vec_id long, v {kind}, cell int, code binary"), "inverted-file")
     held = np.zeros(len(model.cells), np.int64)
     for r in filed.groupBy("cell").count().collect():  # a row for each cell
         held[r["cell"]] = r["count"]
@@ -145,7 +148,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
                 taken = b.take(pa.array(q))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order[q, at].astype(np.int32))], names=["vec_id", "v", "cell"])
 
-    asked = written(filed.where(is_query).select("vec_id", "v").mapInArrow(probe, "vec_id long, v array<double>, cell int"), "probes")
+    asked = written(filed.where(is_query).select("vec_id", "v").mapInArrow(probe, f"vec_id long, v {kind}, cell int"), "probes")
     block = int(min(BLOCK_MOST, max(BLOCK_LEAST, rows // 256)))
     counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
     sizes = spark.createDataFrame([(int(c), int(-(-held[c] // block)), int(-(-counts[c] // block))) for c in sorted(counts)], "cell int, v_blocks int, q_blocks int")
