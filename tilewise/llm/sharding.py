@@ -25,6 +25,8 @@ LIMIT = 1 << 20
 BITS = 60
 #: Cells of the directory for each shard, as a power of two; bits that a further round looks at.
 FINE, MORE = 3, 16
+#: Down to this depth oversized prefixes, at most 2 ** (TOP + 1), are broadcast.
+TOP = 12
 #: Parts in which the equal rows of one prefix are numbered.
 SALTS = 512
 
@@ -43,7 +45,10 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         cells = written(active.groupBy(F.shiftright("bits", BITS - depth).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
         levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
-        sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
+        sums = written(levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")), "sums")
+        # a prefix near the root that is no shard has very many cells, which would all be dealt to one task
+        crowded = sums.where((F.col("shard_bytes") > limit) & (F.col("depth") <= TOP)).select("depth", "prefix")
+        levels = levels.join(F.broadcast(crowded), ["depth", "prefix"], "left_anti")
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
         # levels are many times the written cells, whose files' size would suggest a broadcast
         leaf = levels.hint("merge").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
