@@ -102,10 +102,20 @@ class Model:
         """Products of queries with the vectors behind the codes, from tables of products with the code words."""
         out = np.repeat((queries @ self.cells[cell])[:, None], len(codes), axis=1)
         for j, (cut, book) in enumerate(zip(self.cuts, self.books)):
-            out += (queries[:, cut] @ book.T)[:, codes[:, j]]
+            out += np.take(queries[:, cut] @ book.T, codes[:, j], axis=1)
         return out
 
 
+def largest(about: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of each row, in ascending order; of equal values the first ones."""
+    if n >= about.shape[1]:
+        return np.broadcast_to(np.arange(about.shape[1]), about.shape)
+    least = np.partition(about, about.shape[1] - n, axis=1)[:, -n][:, None]
+    above, equal = about > least, about == least
+    room = n - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(-1, n)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -171,12 +181,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
         for i in range(0, len(q), 256):
             about = model.estimate(q[i : i + 256], key[0].as_py(), codes)
             about[asking[i : i + 256, None] == ids] = -np.inf
-            for j in range(len(about)):
-                best = np.argsort(-about[j], kind="stable")[:RERANK]
-                best = best[about[j, best] > -np.inf]
-                exact = (v[best] * q[i + j]).sum(axis=1)
-                top = np.lexsort((ids[best], -exact))[:k]
-                out.append((np.full(len(top), asking[i + j]), ids[best[top]], exact[top]))
+            best = largest(about, RERANK)
+            exact = (v[best] * q[i : i + 256, None]).sum(axis=2)
+            exact[np.take_along_axis(about, best, axis=1) == -np.inf] = -np.inf
+            top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(exact, top, axis=1)
+            some = score > -np.inf
+            out.append((np.repeat(asking[i : i + 256], some.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)[some]], score[some]))
         a, b, c = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
