@@ -30,9 +30,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}")
         found = _own[0]
