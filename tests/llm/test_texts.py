@@ -56,6 +56,19 @@ def test_languages_of_odd_rows(spark, docs, odd, none):
     assert {r["lang_pred"] for r in bare} == {"und"}
 
 
+def test_language_of_few_long_texts(spark):
+    """Each language gives about the sample, whether its text lies in many documents or in one."""
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    rows = [(1, " ".join(word("abcdef") for _ in range(60_000)), "one")]
+    rows += [(i, " ".join(word("tuvwxy") for _ in range(60)), "many") for i in range(2, 1002)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame, sample_chars=40_000)
+    asked = spark.createDataFrame([(1, "abba feed"), (2, "tutu wxyt")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.predict(asked, model).orderBy("doc_id").collect()] == ["one", "many"]
+    assert (model.p.max(axis=0) > 2 * model.p.min(axis=0)).all()  # neither is the uniform distribution
+
+
 def test_number_signs_are_no_letters(spark, docs):
     texts = ["½ ² Ⅷ", "①②", "٣٤٥ 123", "½ the house and the garden", "日本"]
     frame = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string, score double")
@@ -378,6 +391,15 @@ def test_shards_beside_other_columns(spark, docs):
     assert got.select("doc_id", "shard").exceptAll(plain.select("doc_id", "shard")).count() == 0 and {r[0] for r in got.select("depth").distinct().collect()} == {7}
 
 
+def test_largest_of_rows():
+    rng = np.random.default_rng(2)
+    for n, cells in ((1, 5), (4, 9), (7, 7), (9, 3), (64, 200)):
+        about = rng.integers(0, 6, (50, cells)).astype(float)
+        about[rng.random(about.shape) < 0.2] = -np.inf
+        want = np.sort(np.argsort(-about, axis=1, kind="stable")[:, :n], axis=1)
+        assert (neighbours.largest(about, n) == want).all()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))

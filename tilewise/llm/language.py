@@ -7,7 +7,8 @@ the prediction is the language with the highest posterior under equal priors. Pi
 come from expectation maximisation (forward and backward) on word counts.
 
 Training takes a bounded sample of the labelled rows: about `SAMPLE_CHARS` characters a language,
-chosen by a hash of doc_id. Words are runs of letters in lower case; nothing else is looked at.
+chosen by a hash of doc_id and text; of texts of more than `LONG` characters, runs of `RUN` words are chosen
+each by itself, so that a language of few and long texts is learned from a part of each. Words are runs of letters in lower case; nothing else is looked at.
 Each Python worker keeps the scores of the white-space separated words it has met (`MAX_WORDS`), in arrays by their hashes.
 
 Defined cases: a text that is null, empty or without letters is `und` with score 0; without any
@@ -32,6 +33,7 @@ from .words import Memory, Words, mix, release
 
 UNKNOWN = "und"
 SAMPLE_CHARS, ROUNDS, SMOOTHING = 2_000_000, 3, 0.01
+LONG, RUN = 20_000, 500
 MAX_WORDS = 700_000
 #: A document that is kept has at least this score.
 LEAST_SCORE = 0.5
@@ -229,8 +231,14 @@ def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     sizes = {r["lang"]: r["n"] or 0 for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     share = {k: min(1.0, sample_chars / max(1, n)) for k, n in sizes.items()}
     shares = rows.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    picked = lambda *of: F.pmod(F.xxhash64("doc_id", "text", *of), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    every = F.split(F.lower("text"), r"[^\p{L}]+")
+    runs = F.transform(F.sequence(F.lit(0), (F.size("every") - 1).cast("int"), F.lit(RUN)), lambda i: F.struct(i.alias("i"), F.slice("every", i + 1, F.lit(RUN)).alias("ws")))
+    weighed = rows.join(F.broadcast(shares), "lang")
+    short = weighed.where((F.length("text") <= LONG) & picked()).select("lang", every.alias("ws"))
+    long = weighed.where(F.length("text") > LONG).withColumn("every", every).select("lang", "doc_id", F.xxhash64("text").alias("text"), "share", F.explode(runs).alias("run"))
+    chosen = short.union(long.where(picked("run.i")).select("lang", "run.ws"))
+    words = chosen.select("lang", F.explode("ws").alias("word")).where("word <> ''").groupBy("lang", "word").count()
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
     table = words.toArrow()
     for lang, word, n in zip(*(table[c].to_pylist() for c in ("lang", "word", "count"))):
