@@ -274,6 +274,21 @@ class Pieces:
         self.rest, self.kind = "", None
 
 
+class Remembered(dict):
+    """Packed ids of pieces: asked for a new one, it encodes it. Long ones aren't kept, and it starts anew where it holds too many."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.codec.encoded(piece)
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """A worker's transducer, memory of pieces, and decoder for one vocabulary file."""
 
@@ -292,7 +307,7 @@ class Codec:
                 self.automaton.add_word(s.decode("latin-1"), t)
         self.automaton.make_automaton()
         self.packed = [int(i).to_bytes(4, "little") for i in self.merges.ids]
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self)
         self.classes: set[str] = set()
         self.odd: set[str] = set()
         self._compile()
@@ -327,25 +342,20 @@ class Codec:
             self.odd |= odd
             self._compile()
 
-    def _encoded(self, piece: str) -> bytes:
-        run = Transducer(self)
-        return b"".join(map(self.packed.__getitem__, [*run.feed(piece.encode()), *run.finish()]))
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = {p: self._encoded(p) for p in set(pieces) if p not in known}
-        kept = {p: ids for p, ids in new.items() if len(p) <= LONGEST_PIECE}
-        if len(known) + len(kept) > MOST_PIECES:
-            out = b"".join([known.get(p) or new[p] for p in pieces])
-            known.clear()
-        else:
-            out = None
-        known.update(kept)
-        return out if out is not None else b"".join([known.get(p) or new[p] for p in pieces])
+    def encoded(self, piece: str) -> bytes:
+        """The packed ids of a whole piece: what a transducer does that is fed all of it and finished, with a list for its window."""
+        data, sizes, seams, fits, last, done = piece.encode().decode("latin-1"), self.sizes, self.merges.seams, self.merges.fits, [-1], -1
+        for at, t in self.automaton.iter(data):
+            if at != done:
+                before = last[at + 1 - sizes[t]]
+                if before < 0 or (fits(before, t) if (known := seams.get(before << 32 | t)) is None else known):
+                    last.append(t)
+                    done = at
+        out, at = [], len(data)
+        while at:
+            out.append(self.packed[last[at]])
+            at -= sizes[last[at]]
+        return b"".join(out[::-1])
 
     def _segment(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of a text without special tokens."""
@@ -355,7 +365,7 @@ class Codec:
             nonlocal run
             for text, open_ in found:
                 if isinstance(text, list):
-                    yield self._pieces(text)
+                    yield b"".join(map(self.known.__getitem__, text))
                 else:
                     run = run or Transducer(self)
                     got = run.feed(text.encode()) if open_ else run.finish()
