@@ -52,6 +52,8 @@ BROADCAST_IDS = 1_000_000
 SENT, PART = 600_000, 600_000
 #: Vertices of a bucket that one group holds, about; larger buckets are pairs of such blocks.
 BLOCK = 1024
+#: Sets that are handled at once, at most; `tokens.chunks` cuts batches of any size into fewer.
+MOST_SETS = 1 << 16
 #: How many partners a vertex puts forward in each round of a bucket; None: all.
 ROUNDS = (2, None)
 
@@ -64,8 +66,14 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _few(n: int) -> None:
+    if n > MOST_SETS:
+        raise ValueError(f"at most {MOST_SETS} sets at once: their numbers share 64 bits with hashes")
+
+
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct word shingles of each text, one text after another, and how many each has. At most 65536 texts."""
+    """Hashes of the distinct word shingles of each text, one text after another, and how many each has. `MOST_SETS` texts at most."""
+    _few(len(texts))
     own = Words(texts, lower=True)
     word, count = own.keys[0], own.counts
     owner, ends = np.repeat(np.arange(len(texts)), count), np.cumsum(count)
@@ -99,7 +107,8 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of sets (one after another in `values`), in order of the sets, and how many each has."""
+    """PartEnum signatures of sets (one after another in `values`), in order of the sets, and how many each has. `MOST_SETS` at most."""
+    _few(len(sizes))
     first, _, differ = bands(percent, int(sizes.max(initial=1)) * 100 // percent + 1)
     band = np.maximum(np.searchsorted(first, sizes, side="right") - 1, 0)
     set_of = np.repeat(np.arange(len(sizes)), sizes)

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from .words import Memory, Words
 
 MAX_WORDS = 700_000
-#: Bytes of text that are split into words at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are split into words at a time, and texts.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 1 << 15
 _JOINED = 256
 #: What Python calls white space and the tokenizer doesn't, and what may hold a special token.
 _WHOLE = r"[\x1c-\x1f]|<\|"
@@ -54,14 +54,14 @@ def forget() -> None:
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(place, slice) with about `most` bytes of text in each slice; one longer text stands alone."""
+    """(place, slice) with about `most` bytes of text in each slice, and `CHUNK_TEXTS` texts at most; one longer text stands alone."""
     if len(texts) == 0:
         return
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(texts):
         before = size[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(size, before + most, side="right")))
+        last = max(first + 1, min(first + CHUNK_TEXTS, int(np.searchsorted(size, before + most, side="right"))))
         yield first, texts.slice(first, last - first)
         first = last
 
