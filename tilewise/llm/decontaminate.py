@@ -75,12 +75,27 @@ def qgram_hashes(points: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _string(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         own = [(i, signs(t)) for i, t in items if t and len(t) > Q]
-        self.short = [(i, signs(t).tobytes().decode("utf-32-le", "surrogatepass")) for i, t in items if t and len(t) <= Q]
+        self.short: dict[str, list[int]] = {}  # text -> items
+        for i, t in items:
+            if t and len(t) <= Q:
+                self.short.setdefault(_string(signs(t)), []).append(i)
+        self.automaton = None
+        if self.short:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for t in self.short:
+                self.automaton.add_word(t, t)
+            self.automaton.make_automaton()
         self.ids = np.array([i for i, _ in own], np.int64)
         self.texts = [t for _, t in own]
         m = np.array([len(t) for t in self.texts], np.int64)
@@ -181,13 +196,13 @@ class Index:
         """(text, item_id, start, end) once for each text and item of Q signs or fewer that it holds as whole words."""
         out = []
         for k, t in enumerate(texts if self.short else []):
-            plain = signs(t or "").tobytes().decode("utf-32-le", "surrogatepass")
-            for i, item in self.short:
-                at = plain.find(item)
-                while at >= 0 and (plain[max(0, at - 1) : at].isalnum() and item[0].isalnum() or plain[at + len(item) : at + len(item) + 1].isalnum() and item[-1].isalnum()):
-                    at = plain.find(item, at + 1)
-                if at >= 0:
-                    out.append((k, i, at, at + len(item)))
+            plain, seen = _string(signs(t or "")), set()
+            for last, item in self.automaton.iter(plain):
+                at, end = last + 1 - len(item), last + 1
+                if item in seen or plain[max(0, at - 1) : at].isalnum() and item[0].isalnum() or plain[end : end + 1].isalnum() and item[-1].isalnum():
+                    continue
+                seen.add(item)
+                out += [(k, i, at, end) for i in self.short[item]]
         return out
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -260,7 +275,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     return reduce(DataFrame.union, [_scan(docs, sorted((r["item_id"], r["text"]) for r in b.collect())) for b in blocks])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark passage. Rows without doc_id stay."""
-    found = written(leaks(docs, benchmark.where(F.length("text") > Q)).select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
+def clean(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
+    """`docs` without the documents that hold a benchmark passage. Rows without doc_id stay. Items of `Q` signs or fewer, which ordinary
+    texts hold as well, only count with `short`."""
+    found = written(leaks(docs, benchmark if short else benchmark.where(F.length("text") > Q)).select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].cast("long") == F.col("__leaked"), "left_anti")

@@ -46,8 +46,8 @@ def flat_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
 
         enc, out, number, size = tokens.encoder(path), None, 0, 0
         store, at = filesystem(folder)
-        name = f"flat-{TaskContext.get().partitionId():06d}.u16"
-        own = f"{at}/_{name}-{uuid.uuid4().hex}"
+        # a rerun writes a file of its own: the rows of the attempt that Spark commits name it, and no other file is read
+        name = f"flat-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
         for batch in batches:
             for first, texts in tokens.chunks(batch.column(1)):
                 ids, sizes = enc.encode(texts)
@@ -55,7 +55,7 @@ def flat_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
                     raise ValueError("this vocabulary needs 32-bit ids")
                 if (ids == end_id).any():
                     raise ValueError(f"a text holds the end-of-document id {end_id}")
-                out = out or store.open_output_stream(own)
+                out = out or store.open_output_stream(f"{at}/{name}")
                 flat = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u2")
                 out.write(flat.data)
                 size += flat.nbytes
@@ -64,7 +64,6 @@ def flat_files(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | N
                 number += n
         if out is not None:
             out.close()
-            store.move(own, f"{at}/{name}")
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, number long, doc_id long, bytes long"), "flat-files")
 
