@@ -425,3 +425,58 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["score"]) for r in neighbours.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 5.0), (1, 4.0)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_shingle_join_of_large_batches(spark):
+    """70 000 texts, each twice, in one batch: more than the numbers that share 64 bits with hashes have room for."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        docs = spark.range(70_000).selectExpr("id AS doc_id", "concat_ws(' ', 'a', id % 35000, 'b', id % 35000 + 7) AS text").coalesce(1)
+        got = shingle_join.link(docs, 3, 90)
+        assert got.where("component_id <> doc_id % 35000 OR n_shingles <> 2").count() == 0 and got.count() == 70_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    with pytest.raises(ValueError, match="at most"):
+        shingle_join.shingles(pa.array(["x"] * (shingle_join.MOST_SETS + 1)), 3)
+    with pytest.raises(ValueError, match="at most"):
+        shingle_join.signatures(np.zeros(0, np.uint64), np.zeros(shingle_join.MOST_SETS + 1, np.int64), 80)
+
+
+def test_many_short_items():
+    """Whole words of items of few signs, as a search for each item by itself finds them."""
+    import re
+
+    rng = random.Random(5)
+    items = [(i, "".join(rng.choices("ab !", k=rng.randrange(1, 6)))) for i in range(60)] + [(60, "ab"), (61, "ab")]
+    items = [(i, t) for i, t in items if decontaminate.signs(t).size]
+    texts = ["".join(rng.choices("ab !c", k=rng.randrange(0, 60))) for _ in range(80)] + [None, ""]
+    want = set()
+    for k, text in enumerate(texts):
+        plain = decontaminate._string(decontaminate.signs(text or ""))
+        for i, t in items:
+            t = decontaminate._string(decontaminate.signs(t))
+            m = re.search(("(?<![a-z])" if t[0].isalnum() else "") + re.escape(t) + ("(?![a-z])" if t[-1].isalnum() else ""), plain)
+            if m:
+                want.add((k, i, m.start(), m.end()))
+    assert set(decontaminate.Index(items).find_short(texts)) == want and len(want) > 50
+
+
+def test_clean_with_short_items(spark):
+    docs = spark.createDataFrame([(1, "it is 42 then"), (2, "it is 421"), (None, "42")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "42")], "item_id long, text string")
+    assert decontaminate.clean(docs, items).count() == 3
+    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(docs, items, short=True).collect()) == ["2", "None"]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Rows that share an id are queries of their own and each other's candidates."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.5]), (2, [0.5, 3.0]), (1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") == 0, k=20).collect()
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i == 0:
+            near = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for m, (j, w) in enumerate(rows) if m != k)
+            want += [(0, r, j, -s) for r, (s, j) in enumerate(near, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)

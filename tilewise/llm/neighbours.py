@@ -11,8 +11,8 @@ Cells and the queries of a cell are cut into blocks, each pair of blocks is a ta
 with a third of all vectors is many groups. Only counts for each cell come to the driver.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component or have another
-length than most take no part; ties go to the smaller vec_id; a query's own vec_id isn't its
-neighbour; repeated vec_ids are each a candidate; with fewer candidates than k all are returned;
+length than most take no part; ties go to the smaller vec_id; a query's own row isn't its
+neighbour; rows that share a vec_id are each a query with a ranking of its own, and a candidate of the others; with fewer candidates than k all are returned;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -139,9 +139,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
         for b in batches:
             if b.num_rows:
                 cell, codes = shared.value.file(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "row", "cell", "code"])
 
-    filed = written(good.mapInArrow(file, f"vec_id long, v {kind}, cell int, code binary"), "inverted-file")
+    numbered = good.select("vec_id", "v", F.monotonically_increasing_id().alias("row"))  # ids may be repeated; written once, so the numbers stay
+    filed = written(numbered.mapInArrow(file, f"vec_id long, v {kind}, row long, cell int, code binary"), "inverted-file")
     held = np.zeros(len(model.cells), np.int64)
     for r in filed.groupBy("cell").count().collect():  # a row for each cell
         held[r["cell"]] = r["count"]
@@ -156,43 +157,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
                 chosen = (np.arange(order.shape[1]) < model.probes) | (before < 2 * k + 2)
                 q, at = np.nonzero(chosen & (held[order] > 0))
                 taken = b.take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order[q, at].astype(np.int32))], names=["vec_id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order[q, at].astype(np.int32))], names=["vec_id", "v", "row", "cell"])
 
-    asked = written(filed.where(is_query).select("vec_id", "v").mapInArrow(probe, f"vec_id long, v {kind}, cell int"), "probes")
+    asked = written(filed.where(is_query).select("vec_id", "v", "row").mapInArrow(probe, f"vec_id long, v {kind}, row long, cell int"), "probes")
     block = int(min(BLOCK_MOST, max(BLOCK_LEAST, rows // 256)))
     counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
     sizes = spark.createDataFrame([(int(c), int(-(-held[c] // block)), int(-(-counts[c] // block))) for c in sorted(counts)], "cell int, v_blocks int, q_blocks int")
     sizes = F.broadcast(sizes)  # a row for each cell
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        spread = df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"{own}s")).cast("int"))
+        spread = df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64("row"), F.col(f"{own}s")).cast("int"))
         return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("v_blocks", "q_blocks")
 
     def look(key, found: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        empty = pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not found.num_rows or not queries.num_rows:
             return empty
         model = shared.value
         found = found.sort_by("vec_id")  # ties go to the smaller
-        ids, v = found["vec_id"].to_numpy(), _matrix(found["v"].combine_chunks())
+        ids, rows, v = found["vec_id"].to_numpy(), found["row"].to_numpy(), _matrix(found["v"].combine_chunks())
         codes = np.frombuffer(b"".join(found["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        asking, q = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())
+        asking, asks, q = queries["vec_id"].to_numpy(), queries["row"].to_numpy(), _matrix(queries["v"].combine_chunks())
         out = []
         for i in range(0, len(q), 256):
             about = model.estimate(q[i : i + 256], key[0].as_py(), codes)
-            about[asking[i : i + 256, None] == ids] = -np.inf
+            about[asks[i : i + 256, None] == rows] = -np.inf
             best = largest(about, RERANK)
             exact = (v[best] * q[i : i + 256, None]).sum(axis=2)
             exact[np.take_along_axis(about, best, axis=1) == -np.inf] = -np.inf
             top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             score = np.take_along_axis(exact, top, axis=1)
             some = score > -np.inf
-            out.append((np.repeat(asking[i : i + 256], some.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)[some]], score[some]))
-        a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+            out.append((*(np.repeat(x[i : i + 256], some.sum(axis=1)) for x in (asks, asking)), ids[np.take_along_axis(best, top, axis=1)[some]], score[some]))
+        return pa.table(dict(zip(("query", "query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*out)))))
 
     keys = ["cell", "v_block", "q_block"]
     groups = dealt(filed, "v_block", "q_block").groupBy(*keys).cogroup(dealt(asked, "q_block", "v_block").groupBy(*keys))
-    near = groups.applyInArrow(look, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = groups.applyInArrow(look, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
