@@ -11,8 +11,8 @@ from .shapes import strides
 
 
 def tile_key(dims: Sequence[str], tile: Sequence[int]) -> list[Column]:
-    """g0, g1, ...: each coordinate divided by the tile's length along it."""
-    return [F.expr(f"`{d}` div {int(e)}").cast("int").alias(f"g{i}") for i, (d, e) in enumerate(zip(dims, tile, strict=True))]
+    """g0, g1, ...: each coordinate divided by the tile's length along it, rounded down: cells before 0 lie in tiles before 0."""
+    return [F.expr(f"(`{d}` - pmod(`{d}`, {int(e)})) div {int(e)}").cast("int").alias(f"g{i}") for i, (d, e) in enumerate(zip(dims, tile, strict=True))]
 
 
 def linear_id(columns: Sequence[str], shape: Sequence[int]) -> Column:

@@ -112,21 +112,27 @@ def same_tiles(block: np.ndarray, tile: Sequence[int]) -> Iterator[tuple[np.ndar
 
 def merge_median(slabs: DataFrame, shape: Sequence[int], tile: Sequence[int], dims: int, value: str = "values", low: str = "low") -> DataFrame:
     """Upper medians without a shuffle, from slabs that hold whole tiles along the first dimension: rows (low, values), the
-    records from `low` on, a multiple of the tile's length, as packed values in row-major order. Null slabs give no tiles."""
+    records from `low` on, a multiple of the tile's length, as packed values in row-major order. Null slabs give no tiles; null values are
+    cells that count but have no rank, as in `tile_agg`: a tile of nulls only has a null median."""
     shape, tile = checked(shape), checked(tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = packed.values.to_numpy(zero_copy_only=False).reshape(-1, *shape[1:])
+                flat = packed.values
+                there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, *shape[1:])
+                block = flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, *shape[1:])
                 if first % tile[0]:
                     raise ValueError(f"the slab at {first} begins inside a tile")
-                for keys, cells in same_tiles(block, tile):
+                for (keys, cells), (_, valid) in zip(same_tiles(block, tile), same_tiles(there, tile)):
                     keys[0] += first // tile[0]
                     middle = cells.shape[1] // 2
                     medians = np.partition(cells, middle, axis=1)[:, middle]
+                    ranked = valid.sum(axis=1)
+                    for k in np.flatnonzero((ranked < cells.shape[1]) & (ranked > 0)):
+                        medians[k] = np.partition(cells[k][valid[k]], ranked[k] // 2)[ranked[k] // 2]
                     sizes = pa.repeat(pa.scalar(cells.shape[1], pa.int64()), len(cells))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys.astype(np.int32)), pa.array(medians), sizes], names=[f"c{i}" for i in range(dims + 2)])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys.astype(np.int32)), pa.array(medians, mask=ranked == 0), sizes], names=[f"c{i}" for i in range(dims + 2)])
 
     kind = slabs.schema[value].dataType.elementType.simpleString()
     schema = ", ".join(f"g{i} int" for i in range(dims)) + f", result {kind}, n_cells long"

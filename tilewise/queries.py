@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import coords, tiles
+from .operators import coords, states, tiles
 from .operators.model import ArrayFrame, concat
 from .plans import ranges
 from .session import importable, new_path
@@ -243,16 +243,31 @@ def tiles_of_boxes(spark, sf_dir):
     return ranges.tiles_of_boxes(boxes, ["order_key", "a"], ["end", "b"], (100, 3)).drop("end", "a", "b")
 
 
-def _embedding_files(spark: SparkSession, sf_dir: str) -> str:
-    """The embeddings as NetCDF-3 files of about 96 vectors each; returns their folder."""
-    array, folder = embeddings(spark, sf_dir), new_path(spark, "netcdf")
-    spark.dataSource.register(netcdf3.NetCDF3)
-    parts = -(-_vectors(spark, sf_dir) // 96)
-    dealt = array.df.withColumn("part", F.expr("d0 div 96").cast("int")).repartitionById(parts, F.col("part")).drop("part")
-    dealt.write.format("netcdf3").option("variable", "embedding").mode("append").save(folder)
+#: Bytes of a NetCDF-3 file of the queries, about.
+FILE_BYTES = 32 << 20
+
+
+def _save(df: DataFrame, **options) -> str:
+    """`df` as NetCDF-3 files, one for each partition; returns their folder."""
+    folder = new_path(df.sparkSession, "netcdf")
+    df.sparkSession.dataSource.register(netcdf3.NetCDF3)
+    df.write.format("netcdf3").options(**options).mode("append").save(folder)
     return folder
 
 
+def _in_files(df: DataFrame, first: str, n: int, files: int) -> DataFrame:
+    """Partition p holds the p-th of about `files` equal ranges of the first dimension, of multiples of 8."""
+    step = max(1, -(-n // files // 8)) * 8
+    return df.withColumn("part", F.expr(f"cast(`{first}` div {step} AS int)")).repartitionById(-(-n // step), F.col("part")).drop("part")
+
+
+def _embedding_files(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings as NetCDF-3 files of equal ranges of vectors, four at least; returns their folder."""
+    array, n = embeddings(spark, sf_dir), _vectors(spark, sf_dir)
+    dealt = _in_files(array.df, "d0", n, max(4, -(-n * 64 * 4 // FILE_BYTES)))
+    return _save(dealt.sortWithinPartitions("d0", "d1"), variable="embedding", shape=64)
+
+
 @query("""SELECT (vec_id // 8)::INT AS g0, (i // 16)::INT AS g1, list_sort(list(v))[count(*)::INT // 2 + 1] AS result, count(*) AS n_cells, count(*) >= 128 AS is_complete
 FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
 def aligned_median_without_shuffle(spark, sf_dir):
@@ -271,23 +286,10 @@ def netcdf_records(spark, sf_dir):
 @query("""SELECT d0, count(*) AS n_cells, round(sum(v), 3) AS embedding, any_value(norm) AS norm FROM (SELECT vec_id::INT AS d0, unnest(embedding)::DOUBLE AS v, (vec_id * 3)::INT AS norm FROM embeddings) GROUP BY d0""")
 def netcdf_two_variables(spark, sf_dir):
     """An array and a coordinate variable of its first dimension as columns of one scan."""
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("d0"), "embedding")
-    folder = new_path(spark, "netcdf")
-
-    def write(batches):
-        import numpy as np
-
-        for b in batches:
-            for i in range(0, b.num_rows, 100):
-                part = b.slice(i, 100)
-                ids, values = part.column(0).to_numpy(), np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype("f4")
-                data = {"embedding": (["d0", "d1"], values, {}), "norm": (["d0"], (ids * 3).astype("i4"), {}), "id": (["d0"], ids.astype("i4"), {})}
-                store, at = netcdf3.open_store(folder)
-                store.create_dir(at, recursive=True)
-                netcdf3.write_file(f"{folder}/v-{ids[0]:09d}.nc", [("d0", len(ids)), ("d1", values.shape[1])], data, record="d0")
-                yield part.select(["d0"]).slice(0, 1)
-
-    vectors.mapInArrow(write, "d0 int").count()
+    array, n = embeddings(spark, sf_dir), _vectors(spark, sf_dir)
+    cells = array.df.select("d0", "d1", F.col("value").alias("embedding"), (F.col("d0") * 3).alias("norm"), F.col("d0").alias("id"))
+    dealt = _in_files(cells, "d0", n, max(4, -(-n * 64 * 4 // FILE_BYTES))).sortWithinPartitions("d0", "d1")
+    folder = _save(dealt, variable="embedding", recordVariable="norm,id", shape=64)
     cells = netcdf3.scan(spark, folder, variable="embedding,norm,id")
     return cells.groupBy(F.col("id").alias("d0")).agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(F.col("embedding").cast("double")), 3).alias("embedding"), F.max("norm").alias("norm"))
 
@@ -316,3 +318,99 @@ def early_tile_medians(spark, sf_dir):
 def netcdf_round_trip(spark, sf_dir):
     """Cells written as NetCDF-3 files, a range of records in each, and read back. A file's own corner is its first record."""
     return spark.read.format("netcdf3").option("variable", "embedding").option("align", 8).load(_embedding_files(spark, sf_dir))
+
+
+def _long_records(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The embeddings the other way round, a record for each of the 64 components; returns the folder and the length of a record."""
+    n = _vectors(spark, sf_dir)
+    turned = embeddings(spark, sf_dir).df.select(F.col("d1").alias("d0"), F.col("d0").alias("d1"), "value")
+    return _save(_in_files(turned, "d0", 64, 2).sortWithinPartitions("d0", "d1"), variable="embedding", shape=n), n
+
+
+@query("""SELECT (i // 16)::INT AS g0, (vec_id // 100)::INT AS g1, max(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
+def slabs_inside_records(spark, sf_dir):
+    """Few long records: partitions and what a task holds are parts of one."""
+    folder, n = _long_records(spark, sf_dir)
+    cells = netcdf3.scan(spark, folder, variable="embedding", maxPartitionBytes=min(FILE_BYTES, max(1024, 2 * n)), openCostBytes=0)
+    return tiles.tile_agg(ArrayFrame.of(cells, ["d0", "d1"]), (16, 100), "max")
+
+
+_BOXED = """SELECT (vec_id // 12)::INT AS g0, (i // 10)::INT AS g1, {result} AS result, count(*) AS n_cells, count(*) >= 120 AS is_complete
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL"""
+
+
+def _mixed(op: str, result: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        boxes = netcdf3.scan(spark, _embedding_files(spark, sf_dir), variable="embedding", layout="boxes", maxPartitionBytes=1 << 20)
+        out = states.mixed_agg(boxes, (_vectors(spark, sf_dir), 64), (12, 10), op)
+        return out.withColumn("result", F.round("result", 5)) if op == "average" else out
+
+    run.__name__ = f"mixed_plan_{op}"
+    query(_BOXED.format(result=result))(run)
+
+
+_mixed("median", "list_sort(list(v))[count(*)::INT // 2 + 1]")
+_mixed("average", "round(avg(v::DOUBLE), 5)")
+_mixed("max", "max(v)")
+
+
+@query("""SELECT (vec_id // 8)::INT AS g0, (i // 16)::INT AS g1, round(avg(v::DOUBLE), 5) AS average, count(*)::INT AS n_cells FROM
+(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
+def tile_averages_through_the_sink(spark, sf_dir):
+    """Tiles dealt by ranges of keys, each range written as a file of two variables while its rows arrive, and read back."""
+    n = _vectors(spark, sf_dir)
+    found = tiles.tile_agg(embeddings(spark, sf_dir), (8, 16), "average").select("g0", "g1", F.round("result", 5).alias("average"), F.col("n_cells").cast("int").alias("n_cells"))
+    plan = ranges.key_ranges((-(-n // 8), 4), (1, 1), parts=max(4, -(-n // 8 * 4 * 12 // FILE_BYTES)))
+    folder = _save(ranges.repartitioned(found, plan).drop("part"), variable="average,n_cells", shape=4)
+    return netcdf3.scan(spark, folder, variable="average,n_cells")
+
+
+class Mode(states.Operator):
+    """The most frequent value, of equally frequent ones the smallest: an operator of a user's own."""
+
+    def types(self, kind):
+        return f"array<struct<v:{kind},n:bigint>>", kind
+
+    def init(self):
+        return []
+
+    def add(self, state, values):
+        import numpy as np
+
+        return self.merge(state, [{"v": v, "n": n} for v, n in zip(*(x.tolist() for x in np.unique(values, return_counts=True)))])
+
+    def merge(self, one, other):
+        counts = {x["v"]: x["n"] for x in one}
+        for x in other:
+            counts[x["v"]] = counts.get(x["v"], 0) + x["n"]
+        return [{"v": v, "n": n} for v, n in counts.items()]
+
+    def final(self, state):
+        return min(state, key=lambda x: (-x["n"], x["v"]))["v"]
+
+
+@query("""SELECT g0, g1, v AS result, t::BIGINT AS n_cells, t >= 200 AS is_complete FROM (
+SELECT g0, g1, v, sum(n) OVER (PARTITION BY g0, g1) AS t, row_number() OVER (PARTITION BY g0, g1 ORDER BY n DESC, v) AS r FROM (
+SELECT (l_orderkey // 100)::INT AS g0, ((l_linenumber - 1) // 2)::INT AS g1, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1""")
+def tiled_mode(spark, sf_dir):
+    return states.state_agg(lineitem(spark, sf_dir), TILE, Mode())
+
+
+@query("""SELECT vec_id::INT AS d0, i::INT AS d1, v AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+WHERE (vec_id * 3)::FLOAT > 300::FLOAT AND (vec_id * 3)::FLOAT < 960.5::FLOAT""")
+def coordinate_range_of_files(spark, sf_dir):
+    """Each file's own coordinate variable says which of its records are read."""
+    array, n = embeddings(spark, sf_dir), _vectors(spark, sf_dir)
+    cells = array.df.withColumn("norm", F.col("d0") * 3)
+    dealt = _in_files(cells, "d0", n, max(4, -(-n * 64 * 4 // FILE_BYTES))).sortWithinPartitions("d0", "d1")
+    folder = _save(dealt, variable="value", recordVariable="norm", shape=64)
+    return netcdf3.scan(spark, folder, variable="value", coordinate="norm", coordinateGt=300, coordinateLt=960.5)
+
+
+@query(f"SELECT (vec_id // 100)::INT AS g0, (i // 16)::INT AS g1, min(v) AS result, count(*) AS n_cells, count(*) >= 1600 AS is_complete FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
+def many_small_files(spark, sf_dir):
+    """A hundred files, several to a partition."""
+    array, n = embeddings(spark, sf_dir), _vectors(spark, sf_dir)
+    folder = _save(_in_files(array.df, "d0", n, 100).sortWithinPartitions("d0", "d1"), variable="embedding", shape=64)
+    return tiles.tile_agg(ArrayFrame.of(netcdf3.scan(spark, folder, variable="embedding"), ["d0", "d1"]), (100, 16), "min")
