@@ -13,7 +13,7 @@ from .plans import ranges
 from .session import importable, new_path
 from .sources import netcdf3
 from .sources.text import write_text
-from .streaming.early import early_medians
+from .streaming.early import early_medians, scan_stream
 
 TILE = (100, 2)
 #: Extents of the views; coordinates beyond them make no whole tile.
@@ -308,10 +308,28 @@ def early_tile_medians(spark, sf_dir):
     array, n, folder = embeddings(spark, sf_dir), _vectors(spark, sf_dir), new_path(spark, "stream")
     array.df.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(array.df.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
-    out = early_medians(stream, array.dims, (n, 64), (8, 10)).writeStream.format("parquet").outputMode("append")
-    run = out.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("g0 int, g1 int, result double, n_cells long").parquet(f"{folder}/out")
+    return _streamed(early_medians(stream, array.dims, (n, 64), (8, 10)), folder)
+
+
+def _streamed(df: DataFrame, folder: str) -> DataFrame:
+    """What a stream has emitted from all that has come; run again with the same folder, it goes on behind its checkpoint."""
+    out = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@query("""SELECT (vec_id // 8)::INT AS g0, (i // 16)::INT AS g1, list_sort(list(v))[count(*)::INT // 2 + 1]::DOUBLE AS result, count(*) AS n_cells
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
+def early_medians_of_arriving_files(spark, sf_dir):
+    """NetCDF-3 files that arrive in two lots, read as a stream without a copy; the second run goes on from the first one's checkpoint."""
+    folder, n, files = new_path(spark, "stream"), _vectors(spark, sf_dir), _embedding_files(spark, sf_dir)
+    come = netcdf3.find_files(files)
+    for lot in filter(None, (come[: len(come) // 2], come[len(come) // 2 :])):
+        for file in lot:
+            netcdf3.move_file(file, f"{folder}/in/{file.rpartition('/')[2]}")
+        cells = scan_stream(spark, f"{folder}/in", variable="embedding")
+        found = _streamed(early_medians(cells, ["d0", "d1"], (n, 64), (8, 16)), folder)
+    return found
 
 
 @query("SELECT vec_id::INT AS d0, (i)::INT AS d1, v AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")

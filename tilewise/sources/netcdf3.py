@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, ShortType, StringType, StructField, StructType
 
 from ..plans import boxes
@@ -94,6 +94,14 @@ def find_files(path: str) -> list[str]:
     return [prefix + f for f in sorted(files)]
 
 
+def move_file(file: str, to: str) -> None:
+    """Gives a file of a store another name, in a folder that is made where it isn't there."""
+    store, at = open_store(file)
+    target = open_store(to)[1]
+    store.create_dir(target.rpartition("/")[0], recursive=True)
+    store.move(at, target)
+
+
 @dataclass
 class Variable:
     name: str
@@ -508,6 +516,48 @@ class Reader(DataSourceReader):
             a = b
 
 
+class StreamReader(DataSourceStreamReader):
+    """Files as they arrive, in order of their names: an offset is the last file's name, how many files there were up to it, and where the next
+    one of others begins. Each file is whole when it gets its name, and stays. A file that comes after one with a later name would never be read: then the
+    query stops with an error. A batch is all files that have come; a restart goes on behind the last one of the checkpoint."""
+
+    def __init__(self, schema: StructType, options: dict):
+        self.reader = Reader(schema, options)
+
+    def initialOffset(self) -> dict:
+        return {"file": "", "files": 0}
+
+    def _names(self) -> list[str]:
+        return [f.rpartition("/")[2] for f in find_files(self.reader.options["path"])]
+
+    def latestOffset(self) -> dict:
+        names = sorted(self._names())
+        return {"file": names[-1], "files": len(names)} if names else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[Slabs]:
+        files = sorted(find_files(self.reader.options["path"]), key=lambda f: f.rpartition("/")[2])
+        names = [f.rpartition("/")[2] for f in files]
+        for offset in (start, end):
+            if sum(n <= offset["file"] for n in names) != offset["files"]:
+                raise ValueError(f"files up to {offset['file']} have changed: they must arrive in order of their names, and stay")
+        if start["files"] == end["files"]:
+            return []
+        known = usable_files("", self.reader.options, files[: end["files"]])
+        planned = self.reader.planned(known)
+        new = set(files[start["files"] : end["files"]])
+        kept = [Slabs([s for s in p.slabs if s.file in new]) for p in planned]
+        return [p for p in kept if p.slabs]
+
+    def read(self, partition: Slabs) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
 class PruningReader(Reader):
     """Also reads only the places that Spark's comparisons of dimensions leave; Spark still checks every row."""
 
@@ -594,7 +644,7 @@ def hyperslab(f, head: Header, v: Variable, box: boxes.Box) -> np.ndarray:
     return found.astype(kind.newbyteorder("="))
 
 
-def usable_files(path: str, options: dict) -> list[tuple[str, Header]]:
+def usable_files(path: str, options: dict, files: list[str] | None = None) -> list[tuple[str, Header]]:
     skip = options.get("ignoreinvalid", "false").lower() == "true"
 
     def opened(file: str) -> Header | None:
@@ -605,7 +655,7 @@ def usable_files(path: str, options: dict) -> list[tuple[str, Header]]:
                 return None
             raise ValueError(f"{file}: {e}") from None
 
-    files = find_files(path)
+    files = find_files(path) if files is None else files
     with ThreadPoolExecutor(32) as pool:  # a header is a request to the store: many wait at once
         found = [(f, h) for f, h in zip(files, pool.map(opened, files)) if h is not None]
     if not found:
@@ -811,6 +861,9 @@ class NetCDF3(DataSource):
         o = self._options()
         return (PruningReader if o.get("pushdown", "false").lower() == "true" and layout_of(o) == "cells" else Reader)(schema, o)
 
+    def streamReader(self, schema: StructType) -> StreamReader:
+        return StreamReader(schema, self._options())
+
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(schema, self._options(), overwrite)
 

@@ -6,33 +6,73 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import tile_key
 from ..functions.shapes import checked, expected_cells
+from ..sources import netcdf3
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Tiles(StatefulProcessor):
+    """A tile's state is a list that is only appended to, a packed run of values for each batch that brought some, and two counts. What a batch writes is what
+    it brings, however much of the tile has come before."""
+
+    def __init__(self, keys: list[str], shape: Sequence[int], tile: Sequence[int], records: tuple[int, int] | None):
+        self.keys, self.shape, self.tile, self.records = keys, shape, tile, records
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getListState("runs", "run binary")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, new = 0, []
+        for part in rows:
+            n += len(part)
+            new.append(part["v"].to_numpy(float)[part["there"].to_numpy(bool)])
+        n += self.seen.get()[0] if self.seen.exists() else 0
+        values = np.concatenate(new)
+        if n < expected_cells(self.shape, self.tile, key, self.records):
+            if len(values):
+                self.runs.appendValue((values.tobytes(),))
+            self.seen.update((n,))
+            return
+        values = np.concatenate([values, *(np.frombuffer(run, float) for (run,) in self.runs.get())])
+        self.runs.clear()
+        self.seen.clear()
+        middle = len(values) // 2
+        result = float(np.partition(values, middle)[middle]) if len(values) else None
+        out = pd.DataFrame({k: [np.int32(g)] for k, g in zip(self.keys, key)})
+        # pandas has one NaN for what is missing and what is no number: null and NaN travel beside the result
+        out["result"], out["missing"], out["nan"], out["n_cells"] = [0.0 if result is None or result != result else result], [result is None], [result is not None and result != result], [n]
+        yield out
+
+
+def appending_state(spark: SparkSession) -> None:
+    """States whose lists grow by what is appended need the RocksDB store, and logs of changes in place of whole snapshots."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def early_medians(cells: DataFrame, dims: Sequence[str], shape: Sequence[int], tile: Sequence[int], value: str = "value", records: tuple[int, int] | None = None) -> DataFrame:
     """From a stream of cells: g0, ..., result, n_cells, each tile once. Edge tiles, and tiles cut by the range of `records`,
-    are complete with what the array has there. The state of a tile is the values seen so far, packed, and ends when it is
-    complete: each cell arrives once, as a file source with a checkpoint has it."""
+    are complete with what the array has there. Each cell arrives once, as a file source with a checkpoint has it. Null cells count but have no
+    rank, as in `tile_agg`: of a tile of nulls only the median is null; NaN is the largest value."""
     shape, tile = checked(shape), checked(tile)
     keys = [f"g{i}" for i in range(len(tile))]
+    appending_state(cells.sparkSession)
+    keyed = cells.where(F.lit(True) if records is None else F.col(dims[0]).between(records[0], records[1] - 1))
+    v = F.col(value).cast("double")
+    keyed = keyed.select(*tile_key(dims, tile), F.coalesce(v, F.lit(0.0)).alias("v"), v.isNotNull().alias("there"))
+    schema = ", ".join(f"{k} int" for k in keys) + ", result double, missing boolean, nan boolean, n_cells long"
+    found = keyed.groupBy(*keys).transformWithStateInPandas(_Tiles(keys, shape, tile, records), schema, "append", "none")
+    return found.select(*keys, F.when(F.col("nan"), F.lit(float("nan"))).when(~F.col("missing"), F.col("result")).alias("result"), "n_cells")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        arrived = [np.frombuffer(state.get[0], float)] if state.exists else []
-        values = np.concatenate([*arrived, *(b["v"].to_numpy(float) for b in batches)])
-        if len(values) >= expected_cells(shape, tile, key, records):
-            if state.exists:
-                state.remove()
-            middle = len(values) // 2
-            yield pd.DataFrame([[*key, float(np.partition(values, middle)[middle]), len(values)]], columns=[*keys, "result", "n_cells"])
-        else:
-            state.update((values.tobytes(),))
 
-    keyed = cells.where(F.lit(True) if records is None else F.col(dims[0]).between(records[0], records[1] - 1))
-    keyed = keyed.select(*tile_key(dims, tile), F.col(value).cast("double").alias("v"))
-    schema = ", ".join(f"{k} int" for k in keys) + ", result double, n_cells long"
-    return keyed.groupBy(*keys).applyInPandasWithState(step, schema, "seen binary", "append", GroupStateTimeout.NoTimeout)
+def scan_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The cells of NetCDF-3 files as they arrive, in order of their names: see `netcdf3.StreamReader`."""
+    spark.dataSource.register(netcdf3.NetCDF3)
+    return spark.readStream.format("netcdf3").options(**options).load(path)
