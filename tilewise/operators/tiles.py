@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tile_key
-from ..functions.shapes import checked
+from ..functions.shapes import checked, strides
+from . import windows
 from .model import ArrayFrame
 
 
@@ -60,17 +61,46 @@ def operator(name: str) -> Callable[[str], Column]:
         raise ValueError(f"no operator {name}; there are {', '.join(sorted(OPERATORS))}") from None
 
 
-def tile_agg(array: ArrayFrame, tile: Sequence[int], op: str | dict[str, str] = "median", by: Sequence[str] = (), drop_partial: bool = False) -> DataFrame:
+#: Cells that one bitmap of Spark's holds, and bitmaps that are made side by side in one aggregation.
+BITMAP, BITMAPS = 32_768, 16
+
+
+def cells_seen(array: ArrayFrame, tile: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """A row for each tile: its key and n_distinct, how many different cells it has, from bitmaps of cells that are combined on the map side."""
+    keys = [*by, *(f"g{i}" for i in range(len(tile)))]
+    placed = array.df.select(*by, *tile_key(array.dims, tile), _place(array, tile))
+    parts = placed.groupBy(*keys, F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("__at"))).alias("n"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n_distinct"))
+
+
+def _place(array: ArrayFrame, tile: Sequence[int]) -> Column:
+    """A cell's place in its tile, from 1."""
+    terms = [F.pmod(F.col(d).cast("long"), F.lit(e)) * F.lit(s) for d, e, s in zip(array.dims, tile, strides(tile))]
+    return (sum(terms[1:], terms[0]) + 1).alias("__at")
+
+
+def tile_agg(array: ArrayFrame, tile: Sequence[int], op: str | dict[str, str] = "median", by: Sequence[str] = (), drop_partial: bool = False, exact: bool = False) -> DataFrame:
     """A row for each tile: g0, ..., result (or a column for each name of a dict name -> operator), n_cells, is_complete.
 
     Edge tiles hold what the array has there; is_complete compares n_cells with the tile's full size, so in a sparse array
-    with repeated cells it says that there are enough values, not that no cell is missing."""
+    with repeated cells it says that there are enough values, not that no cell is missing. With `exact` it says that none is: there is a column
+    n_distinct, the number of different cells, which is compared."""
     tile = checked(tile)
     ops = {"result": op} if isinstance(op, str) else op
     keys = tile_key(array.dims, tile)
     grouped = array.df.select(*by, *keys, F.col(array.value)).groupBy(*by, *(f"g{i}" for i in range(len(tile))))
-    out = grouped.agg(*(operator(o)(array.value).alias(name) for name, o in ops.items()), F.count(F.lit(1)).alias("n_cells"))
-    out = out.withColumn("is_complete", F.col("n_cells") >= F.lit(math.prod(tile)))
+    found = [*(operator(o)(array.value).alias(name) for name, o in ops.items()), F.count(F.lit(1)).alias("n_cells")]
+    size, names = math.prod(tile), [*by, *(f"g{i}" for i in range(len(tile)))]
+    if exact and size <= BITMAP * BITMAPS:
+        placed = array.df.select(*by, *keys, F.col(array.value), _place(array, tile))
+        of = lambda b: F.bitmap_count(F.bitmap_construct_agg(F.when(F.bitmap_bucket_number("__at") == b + 1, F.bitmap_bit_position("__at"))))
+        seen = sum((of(b) for b in range(1, -(-size // BITMAP))), of(0))
+        out = placed.groupBy(*names).agg(*found, seen.alias("n_distinct"))
+    elif exact:
+        out = grouped.agg(*found).join(cells_seen(array, tile, by), names)
+    else:
+        out = grouped.agg(*found)
+    out = out.withColumn("is_complete", F.col("n_distinct" if exact else "n_cells") >= F.lit(size))
     return out.where("is_complete") if drop_partial else out
 
 
@@ -91,9 +121,14 @@ def rollup(array: ArrayFrame, tile: Sequence[int], op: str = "average") -> DataF
 
 
 def sliding(array: ArrayFrame, window: int, op: str = "average") -> DataFrame:
-    """Windows of `window` records at every record: a cell counts for each window that covers it, so the shuffle carries at
-    most `window` partial results for it."""
+    """Windows of `window` records at every record from 0 on: start, the other dimensions, result, n_cells. The common operators over
+    numbers work on blocks of records with halos (see `windows`); for any other one a cell counts for each window that covers it, so that the
+    shuffle carries at most `window` partial results for it."""
+    if window < 1:
+        raise ValueError("a window has one record at least")
     d, *rest = array.dims
+    if op.lower() in windows.OPERATORS and array.df.schema[array.value].dataType.simpleString() in windows.KINDS and not {"block", "d", "v", "n", "m", "start"} & set(rest):
+        return windows.windows(array, window, op.lower())
     spread = array.df.withColumn("start", F.explode(F.sequence(F.col(d) - (window - 1), F.col(d)))).where("start >= 0")
     return spread.groupBy("start", *rest).agg(operator(op)(array.value).alias("result"), F.count(F.lit(1)).alias("n_cells"))
 

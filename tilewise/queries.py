@@ -432,3 +432,18 @@ def many_small_files(spark, sf_dir):
     array, n = embeddings(spark, sf_dir), _vectors(spark, sf_dir)
     folder = _save(_in_files(array.df, "d0", n, 100).sortWithinPartitions("d0", "d1"), variable="embedding", shape=64)
     return tiles.tile_agg(ArrayFrame.of(netcdf3.scan(spark, folder, variable="embedding"), ["d0", "d1"]), (100, 16), "min")
+
+
+@query(f"""{_LINEITEM}, {_UPPER} AS result, count(*) AS n_cells, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct,
+count(DISTINCT (l_orderkey, l_linenumber)) >= 200 AS is_complete FROM lineitem GROUP BY ALL""")
+def median_of_tiles_without_holes(spark, sf_dir):
+    """Completeness from bitmaps of the cells seen: repeated cells don't make up for missing ones."""
+    return tiles.tile_agg(lineitem(spark, sf_dir), TILE, exact=True)
+
+
+@query("""SELECT s AS start, i AS d1, max(v) AS result, count(*) AS n_cells FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) c,
+generate_series(0, 29) AS o(k), LATERAL (SELECT (vec_id - k)::INT AS s) WHERE s >= 0 GROUP BY ALL""")
+def sliding_maximum(spark, sf_dir):
+    """Windows of 30 records."""
+    out = tiles.sliding(embeddings(spark, sf_dir), 30, "max")
+    return out.withColumn("d1", F.col("d1").cast("long"))
