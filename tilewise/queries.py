@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import coords, states, tiles
+from .operators import coords, sketches, states, tiles
 from .operators.model import ArrayFrame, concat
 from .plans import ranges
 from .session import importable, new_path
@@ -447,3 +447,16 @@ def sliding_maximum(spark, sf_dir):
     """Windows of 30 records."""
     out = tiles.sliding(embeddings(spark, sf_dir), 30, "max")
     return out.withColumn("d1", F.col("d1").cast("long"))
+
+
+@query("""SELECT g0, g1, n AS n_cells, true AS median_within, true AS distinct_within FROM (SELECT (l_orderkey // 400)::INT AS g0, ((l_linenumber - 1) // 4)::INT AS g1, count(*) AS n FROM lineitem GROUP BY ALL)""")
+def approximate_tiles(spark, sf_dir):
+    """Medians and distinct counts of coarse tiles from the sketches of fine ones, held against the cells: a median's rank is within a
+    fiftieth of the cells, a distinct count within an eighth or two."""
+    array = lineitem(spark, sf_dir)
+    found = sketches.estimates(sketches.coarser(sketches.tile_sketches(array, TILE), (4, 2)))
+    keys = ["g0", "g1"]
+    cells = array.df.select(*tiles.tile_key(array.dims, (400, 4)), "value").join(found, keys)
+    exact = cells.groupBy(*keys).agg(F.first("n_cells").alias("n_cells"), F.count_if(F.col("value") < F.col("q0")).alias("below"), F.count_if(F.col("value") <= F.col("q0")).alias("upto"), F.countDistinct("value").alias("d"), F.first("n_distinct").alias("e"))
+    half, room = F.col("n_cells") / 2, F.col("n_cells") / 50 + 1
+    return exact.select(*keys, "n_cells", ((F.col("below") <= half + room) & (F.col("upto") >= half - room)).alias("median_within"), (F.abs(F.col("d") - F.col("e")) <= F.greatest(F.col("d") / 8, F.lit(2))).alias("distinct_within"))
