@@ -49,7 +49,7 @@ LEAST_BITS = 1024
 #: Up to as many ids are sent to every executor (8 bytes each); beyond that texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Signatures that one task sends at a time, and that one task brings together, about.
-SENT, PART = 600_000, 600_000
+SENT, PART = 300_000, 300_000
 #: Vertices of a bucket that one group holds, about; larger buckets are pairs of such blocks.
 BLOCK = 1024
 #: Sets that are handled at once, at most; `tokens.chunks` cuts batches of any size into fewer.
@@ -179,7 +179,7 @@ class Sketches:
         out = np.zeros(len(i), np.int64)
         a, b = self.words[i], self.words[j]
         for x, y in set(zip(a.tolist(), b.tolist())):
-            at, n = np.flatnonzero((a == x) & (b == y)), max(1, (1 << 21) // max(x, y))
+            at, n = np.flatnonzero((a == x) & (b == y)), max(1, (1 << 19) // max(x, y))
             for some in (at[k : k + n] for k in range(0, len(at), n)):
                 w = min(x, y)
                 out[some] = np.bitwise_count(self._rows(i[some], x, w) ^ self._rows(j[some], y, w)).sum(axis=1)
