@@ -49,7 +49,7 @@ LEAST_BITS = 1024
 #: Up to as many ids are sent to every executor (8 bytes each); beyond that texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Signatures that one task sends at a time, and that one task brings together, about.
-SENT, PART = 300_000, 300_000
+SENT, PART = 600_000, 300_000
 #: Vertices of a bucket that one group holds, about; larger buckets are pairs of such blocks.
 BLOCK = 1024
 #: Sets that are handled at once, at most; `tokens.chunks` cuts batches of any size into fewer.
