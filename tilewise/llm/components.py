@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import settled, written
 
 MOST_ROUNDS = 100
 
@@ -16,6 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node points to its smallest neighbour, pointers are followed once more, and the graph is contracted
     along them; a round leaves at most half of the nodes of each part. Null ends are ignored; loops and repeated edges
     change nothing; without edges there are no rows."""
+    return settled(lambda: _contracted(edges), "components")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     left = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = None
     for _ in range(MOST_ROUNDS):

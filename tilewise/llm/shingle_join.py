@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .storage import written
+from .storage import settled, written
 from .words import Words, release
 from .words import mix as _mix
 
@@ -421,7 +421,11 @@ def _candidates(open_: DataFrame, percent: int, most: int | None) -> DataFrame:
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Each row of `docs` (doc_id, text): doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id
-    (smallest doc_id reachable by links of similar sets)."""
+    (smallest doc_id reachable by links of similar sets). Written; the tables of the rounds are gone by then."""
+    return settled(lambda: _linked(docs, words, percent), "linked")
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(64, int(characters / 5 * 3.2 * (100 - percent) / (100 + percent)) // PART)
     found = written(features(docs, words, percent, parts), "features", "kind")
@@ -442,8 +446,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     labels = components(links)
     for most in ROUNDS:
         part_of = known.join(labels.withColumnRenamed("node", "v"), "v", "left").select("v", "n", "sketch", F.coalesce("component", "v").alias("part"))
-        pairs = _candidates(_open(members, part_of), percent, most).distinct()
-        pairs = written(pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        before = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = lambda: _candidates(_open(members, part_of), percent, most).distinct().join(before, ["a", "b"], "left_anti")  # noqa: E731, B023
+        pairs = settled(fresh, "pairs")
         more = _verified(pairs, sets, percent)
         seen, links = seen.union(pairs), links.union(more)
         if not more.isEmpty():
