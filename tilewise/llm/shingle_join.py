@@ -26,7 +26,7 @@ nothing; fewer words than a shingle has are one shorter shingle; repeated rows a
 result; rows that share a doc_id are placed by their own text; a null doc_id links nothing by
 itself and gets the component of its equal texts, or null; an empty table gives no rows; extra
 columns are ignored. Shingles and vertices are told apart by 64-bit hashes, sets by 128 bits and
-their size.
+their size. Signatures travel in 48 bits and their part; two that fall together only make candidates more.
 """
 
 from __future__ import annotations
@@ -202,6 +202,18 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _packed(sigs: np.ndarray, parts: int) -> bytes:
+    """Signatures of one part, in six bytes each: the part itself says the rest, but for the highest bits where parts are few."""
+    return np.ascontiguousarray((sigs // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Numbers that are alike for signatures that `_packed` made alike, and in one part only."""
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    return wide.view("<u8").ravel() * np.uint64(parts) + np.uint64(part)
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal keys."""
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -235,12 +247,15 @@ def features(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame
         rows = []
         if met.any():
             s, v = sigs[met], np.stack([vs[met], np.repeat(least, n)[met]])
-            rows.append((int(s[0] % np.uint64(parts)), MET, s.tobytes(), v.tobytes()))
+            part = (s % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at, sizes = _runs(part[order])
+            rows += [(int(part[own[0]]), MET, _packed(s[own], parts), v[:, own].tobytes()) for own in (order[k : k + m] for k, m in zip(at, sizes))]
         sigs = sigs[heads]
         part = (sigs % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         at, sizes = _runs(part[order])
-        rows += [(int(part[own[0]]), LOOSE, sigs[own].tobytes(), least[own].tobytes()) for own in (order[k : k + m] for k, m in zip(at, sizes))]
+        rows += [(int(part[own[0]]), LOOSE, _packed(sigs[own], parts), least[own].tobytes()) for own in (order[k : k + m] for k, m in zip(at, sizes))]
         return tuple(map(list, zip(*rows)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +301,8 @@ def features(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame
             if own.num_rows:
                 yield rows(SET, own.num_rows, **{k: own.column(k) for k in ("doc_id", "n", "fp1", "fp2", "sketch")})
             for k in np.flatnonzero(kinds != SET):
-                sig, v = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("sigs", "vs"))
+                sig, v = (np.frombuffer(batch.column(c)[k].as_buffer(), of) for c, of in (("sigs", np.uint8), ("vs", np.uint64)))
+                sig = _unpacked(sig, batch.column("p")[k].as_py(), parts)
                 if kinds[k] == MET:
                     both = v.reshape(2, -1)
                     # the smallest one itself is a member as well
