@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewise.llm.words import Words
-from tilewise.llm import components, decontaminate, language, licences, neighbours, pii, pii_sql, sharding, shingle_join
+from tilewise.llm import components, decontaminate, language, licences, neighbours, pii, pii_sql, sharding, shingle_join, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -382,6 +382,46 @@ def test_shards(spark, docs, odd, none):
     assert [r["count"] for r in same] == [10] * 5 and sharding.assign(none).count() == 0
 
 
+def test_shards_of_hot_cells(spark, docs, monkeypatch):
+    alike = spark.range(400).select(F.lit(10**9).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    frame = docs.select("doc_id", "text").union(alike)
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = con.sql(sharding.sql(20_000)).df()
+    for hot in (1, 8, 1 << 30):  # no cell is hot, one is, all are
+        monkeypatch.setattr(sharding, "HOT", hot)
+        got = sharding.assign(frame, 20_000).select("doc_id", "shard", "shard_depth", "shard_bytes").toPandas()
+        assert len(got) == frame.count() and set(map(tuple, got.to_numpy().tolist())) == set(map(tuple, want[list(got.columns)].to_numpy().tolist()))
+
+
+def test_placed_rows_have_no_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 8)
+    rows = spark.range(800).select(F.when(F.col("id") < 400, F.lit(3)).otherwise(F.col("id")).alias("__bits"))
+    leaves = rows.groupBy(F.col("__bits").alias("cell")).agg(F.count("*").alias("n")).select("cell", "n", F.lit(60).alias("depth"), F.col("cell").alias("prefix"), F.lit(1).alias("shard_bytes"))
+    placed = sharding._placed(rows, leaves, sharding.BITS, 100)
+    assert placed.count() == 800 and placed.where("__prefix <> __bits").count() == 0
+    assert "BroadcastHashJoin" in placed._jdf.queryExecution().toString()
+
+
+def test_settled_tables_leave_only_their_result(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "new_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    inner = lambda: storage.written(spark.range(5), "a").union(storage.settled(lambda: storage.written(spark.range(3), "b"), "c"))
+    assert storage.settled(inner, "d").count() == 8 and [x.name for x in tmp_path.iterdir()] == ["d"]
+    storage.written(spark.range(2), "e")
+    assert {x.name for x in tmp_path.iterdir()} == {"d", "e"}
+
+
+def test_packed_signatures():
+    sigs = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
+    for parts in (64, 7001):
+        part = (sigs % np.uint64(parts)).astype(int)
+        for p in np.unique(part):
+            own = sigs[part == p]
+            data = shingle_join._packed(own, parts)
+            back = shingle_join._unpacked(np.frombuffer(data, np.uint8), int(p), parts)
+            assert len(data) == 6 * len(own) and len(np.unique(back)) == len(np.unique(own)) and (back % np.uint64(parts) == p).all()
+
+
 def test_shards_beside_other_columns(spark, docs):
     names = ["depth", "prefix", "a.b", "shard_bytes", "cell", "bits"]
     frame = docs.select("doc_id", "text", *(F.lit(7).alias(c) for c in names))

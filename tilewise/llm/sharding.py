@@ -29,6 +29,8 @@ FINE, MORE = 3, 16
 TOP = 12
 #: Parts in which the equal rows of one prefix are numbered.
 SALTS = 512
+#: A cell with more than a HOT-th of all rows is hot: fewer than HOT are, so their leaves are broadcast and their rows dealt over SPREAD keys.
+HOT, SPREAD = 1024, 1 << 20
 
 
 def bits(key: str = "doc_id", text: str = "text") -> Column:
@@ -38,21 +40,21 @@ def bits(key: str = "doc_id", text: str = "text") -> Column:
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """From (bits, bytes): the leaf of every cell: cell, cell_depth, depth, prefix, shard_bytes. Cells don't overlap."""
+    """From (bits, bytes): the leaf of every cell: cell, cell_depth, n (its rows), depth, prefix, shard_bytes. Cells don't overlap."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     depth = min(BITS, max(0, (total // max(1, limit)).bit_length()) + FINE)
     found, floor, active = None, 0, rows
     while True:
-        cells = written(active.groupBy(F.shiftright("bits", BITS - depth).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
-        levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
+        cells = written(active.groupBy(F.shiftright("bits", BITS - depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("bits").alias("n")), "cells")
+        levels = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(floor), F.lit(depth))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
         sums = written(levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")), "sums")
         # a prefix near the root that is no shard has very many cells, which would all be dealt to one task
         crowded = sums.where((F.col("shard_bytes") > limit) & (F.col("depth") <= TOP)).select("depth", "prefix")
         levels = levels.join(F.broadcast(crowded), ["depth", "prefix"], "left_anti")
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
         # levels are many times the written cells, whose files' size would suggest a broadcast
-        leaf = levels.hint("merge").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
-        leaf = written(leaf.select("cell", F.lit(depth).alias("cell_depth"), "leaf.*"), "leaves")
+        leaf = levels.hint("merge").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.first("n").alias("n"), F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
+        leaf = written(leaf.select("cell", F.lit(depth).alias("cell_depth"), "n", "leaf.*"), "leaves")
         found = leaf if found is None else found.union(leaf)
         if depth == BITS:
             return found
@@ -64,6 +66,18 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         floor, depth = depth + 1, min(BITS, depth + MORE)
 
 
+def _placed(rows: DataFrame, leaves: DataFrame, depth: int, most: int) -> DataFrame:
+    """`rows` whose cell of `depth` bits has a leaf, with it. No key of the join has more than `most` rows: those of larger cells
+    have their leaf from a broadcast before and are dealt evenly."""
+    names = ("depth", "prefix", "shard_bytes")
+    of = lambda df, tag: df.select(F.col("cell").alias("__cell"), *(F.col(c).alias(f"__{tag}_{c}") for c in names))
+    hot, cold = of(leaves.where(F.col("n") > most), "hot"), of(leaves.where(F.col("n") <= most), "cold")
+    early = rows.withColumn("__cell", F.shiftright("__bits", BITS - depth)).join(F.broadcast(hot), "__cell", "left")
+    dealt = F.when(F.col("__hot_depth").isNull(), F.col("__cell")).otherwise(-1 - F.monotonically_increasing_id() % SPREAD)
+    every = early.withColumn("__cell", dealt).join(cold, "__cell", "left")
+    return every.select(*(f"`{c}`" for c in rows.columns), *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(f"__{c}") for c in names)).where(F.col("__depth").isNotNull())
+
+
 def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with shard (bits of the prefix, and the page where one is needed), shard_depth and shard_bytes."""
     kept = [f"`{c}`" for c in docs.columns if c not in ("shard", "shard_depth", "shard_bytes")]
@@ -71,11 +85,10 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     narrow = written(docs.select(bits(key, text).alias("bits"), size.alias("bytes")), "bits")
     leaves = directory(narrow, limit)
     df = docs.select(*kept, bits(key, text).alias("__bits"), size.alias("__bytes"))
-    depths = sorted(r[0] for r in leaves.select("cell_depth").distinct().collect())  # at most BITS
+    depths = {r["cell_depth"]: r["n"] for r in leaves.groupBy("cell_depth").agg(F.sum("n").alias("n")).collect()}  # at most BITS
     placed = None
-    for d in depths:  # one, but for buckets beyond the first directory's depth
-        own = leaves.where(F.col("cell_depth") == d).select(F.col("cell").alias("__cell"), *(F.col(c).alias(f"__{c}") for c in ("depth", "prefix", "shard_bytes")))
-        part = df.withColumn("__cell", F.shiftright("__bits", BITS - d)).join(own, "__cell").drop("__cell")
+    for d in sorted(depths):  # one, but for buckets beyond the first directory's depth
+        part = _placed(df, leaves.where(F.col("cell_depth") == d), d, sum(depths.values()) // HOT)
         placed = part if placed is None else placed.union(part)
     if placed is None:
         placed = df.select("*", F.lit(0).alias("__depth"), F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__shard_bytes"))
