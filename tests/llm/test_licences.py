@@ -118,3 +118,28 @@ def test_natively_as_in_plain_form(spark, model):
         p = model.probabilities(text)
         best = model.families[p[:-1].argmax()] if p.argmax() < len(model.families) and p.max() >= licences.LEAST_PROBABILITY else None
         assert best is None or not licences.is_like(text, best) or best in families, text
+
+
+def test_passages_far_from_the_beginning(spark):
+    """The text of a passage is all of it, wherever in a long line it is, also after letters that lower case makes others."""
+    model = licences.fit(["some plain words of a text", "and other words, by the same"])
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+    before = "Kelvin İstanbul AİBİ café " * 400
+    rows = [(1, f"{before}{mit}. And so on"), (2, f"{before}\n{before}{mit[:80]}\n * {mit[80:]}; {before}")]
+    got = {r["doc_id"]: r for r in licences.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {i: (r["family"], r["paragraph"]) for i, r in got.items()} == {1: ("MIT", 0), 2: ("MIT", 1)}
+    assert mit in got[1]["paragraph_text"] and f"{mit[:80]}\n * {mit[80:]}" in got[2]["paragraph_text"]
+    assert len(got[2]["paragraph_text"]) < 400 and all(abs(r["probability"] - model.probabilities(r["paragraph_text"]).max()) < 1e-9 for r in got.values())
+
+
+def test_long_lines_are_learned_from_wherever(spark, monkeypatch):
+    """Samples of long lines come from all of them, not from their beginnings; all words of a sample count."""
+    seen = {}
+    monkeypatch.setattr(licences, "fit", lambda negatives: seen.setdefault("negatives", negatives))
+    texts = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(40)]
+    licences.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    monkeypatch.undo()
+    at = [texts[int(re.search(r"w(\d+)x", t)[1])].index(t) for t in seen["negatives"]]
+    assert len(at) == 40 and len(set(at)) >= 4 and max(at) > 8000 and all(len(t) <= licences.PIECE for t in seen["negatives"])
+    long = " ".join(f"v{k}" for k in range(300))
+    assert long.split() in licences._examples([long], licences.np.random.default_rng(0))[0]

@@ -7,7 +7,7 @@ notice of a long line is judged by itself. Of overlapping passages the one with
 stays; a line that is a notice as a whole is reported once for its family. A paragraph's features are its distinct word 1- to 3-grams; a multinomial logistic
 regression gives the probability of each licence family and of `unknown`. It is trained on the
 driver from the templates below (with words lost, added and mixed into other text) against bounded
-samples: unlicensed sentences below, and at most `NEGATIVES` lines of the corpus that aren't like a template. Weights are sparse. A
+samples: unlicensed sentences below, and at most `NEGATIVES` lines of the corpus, or pieces of long ones from anywhere in them, that aren't like a template. Weights are sparse. A
 temperature fitted on held-out examples calibrates the probabilities; a paragraph is of the unknown
 class unless a family reaches `LEAST_PROBABILITY`. Notices of licences outside the families (`OTHERS`) are examples of
 the unknown class. A prediction stands only if the paragraph is like one of the family's templates: it
@@ -44,8 +44,8 @@ NEGATIVES, LEAST_PROBABILITY, LEAST_LIKENESS = 2_000, 0.5, 0.6
 MOST_GRAM = 3
 #: Lines of the corpus with this share of a template's word pairs could be (part of) a notice: they aren't taken as negatives.
 NEGATIVE_LIKENESS = 0.3
-#: Characters of each line that the text of a passage shows.
-MOST_CHARS = 2_000
+#: Signs of a line that are learned from at once; a longer line is cut into pieces, each of which may be in the sample.
+PIECE = 2_000
 
 # Short public notices of licences.
 TEMPLATES = {
@@ -263,7 +263,7 @@ def _examples(negatives: list[str], rng: np.random.Generator) -> tuple[list[list
                 texts.append(own)
                 classes.append(k)
     for t in negatives + NOT_LICENCES * 20 + [t for ts in OTHERS.values() for t in ts] * 12:
-        texts.append(words(t)[:200])
+        texts.append(words(t))
         classes.append(len(families))
     return texts, classes
 
@@ -309,9 +309,10 @@ def fit(negatives: list[str], rounds: int = 150, decay: float = 1e-4, seed: int
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
-    """Fits against a bounded sample of lines: one, by a hash, of each of the documents with the smallest hash of doc_id. A
-    sampled line that is like a template, or has a word that mostly notices have, is left out: it could be one."""
-    line = F.array_min(F.transform(F.split("text", "\n"), lambda t: F.struct(F.xxhash64(t).alias("h"), F.substring(t, 1, 2000).alias("t"))))
+    """Fits against a bounded sample of lines, long ones in pieces of `PIECE` signs: one, by a hash, of all those of each of the documents
+    with the smallest hash of doc_id. A sampled line that is like a template, or has a word that mostly notices have, is left out: it could be one."""
+    pieces = lambda t: F.when(F.length(t) <= PIECE, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    line = F.array_min(F.transform(F.flatten(F.transform(F.split("text", "\n"), pieces)), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
     single = docs.select("doc_id", "text").where("text IS NOT NULL").select("doc_id", line["t"].alias("t"))
     lines = sorted(r["t"] for r in sampled(single, "doc_id", negatives, docs.count()).collect() if r["t"])
     rare = {w for ts in TEMPLATES.values() for t in ts for w in words(t)} & {"license", "licensed", "apache", "gnu", "mit", "bsd", "spdx", "mozilla", "redistribution", "unencumbered", "cc", "creative"}
@@ -336,6 +337,16 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: What `_words` takes for words, in a text that isn't lower-cased: the Kelvin sign becomes a k, a capital i with a dot an i and a sign.
+_LETTER = "A-Za-z0-9\u212a"
+_WORD = f"(?:[{_LETTER}]*\u0130|[{_LETTER}]+)"
+
+
+def _spelled(text: Column) -> Column:
+    """The words of a text as it has them, each with the signs up to the next one."""
+    return F.regexp_extract_all(text, F.lit(f"{_WORD}[^{_LETTER}\u0130]*"), F.lit(0))
+
+
 def _ngrams(ws: Column, n: int) -> Column:
     whole = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
     return F.when(F.size(ws) >= n, whole).otherwise(F.array().cast("array<string>"))
@@ -389,7 +400,7 @@ def _passages(lines: Column, seeds: list[str]) -> Column:
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The licence paragraphs of `docs` (doc_id, text): doc_id, paragraph (its first line, from 0), family, probability,
-    likeness, paragraph_text (of a passage the lines it lies in, `MOST_CHARS` of each)."""
+    likeness, paragraph_text (of a passage the text from its first word to its last, wherever in the document it is)."""
     model = model or train(docs)
     seed = _any_pair(model.seeds)
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(seed))
@@ -436,8 +447,15 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     apart = F.aggregate("parts", F.slice("parts", 1, 0), lambda kept, h: F.when(F.exists(kept, lambda k: (k["a"] < h["b"]) & (h["a"] < k["b"])), kept).otherwise(F.concat(kept, F.array(h))))
     own = own.select("doc_id", "lines", "whole", apart.alias("parts"))
     beside = F.filter("parts", lambda h: ~F.exists("whole", lambda w: (w["best"] == h["best"]) & w["first"].between(h["first"], h["last"])))
-    text = lambda h: F.array_join(F.transform(F.slice("lines", h["first"] + 1, h["last"] - h["first"] + 1), lambda t: F.when(h["a"] < 0, t).otherwise(F.substring(t, 1, MOST_CHARS))), "\n")
-    found = own.select("doc_id", "lines", F.explode(F.concat("whole", beside)).alias("h"))
+    own = own.select("doc_id", "lines", "whole", beside.alias("beside"))
+    own = own.withColumn("spelled", F.when(F.size("beside") > 0, _spelled(F.array_join("lines", "\n"))))
+    found = own.select("doc_id", "lines", "spelled", F.explode(F.concat("whole", "beside")).alias("h"))
+
+    def text(h: Column) -> Column:
+        begins = F.array_join(F.slice("spelled", h["a"] + 1, h["b"] - h["a"] - 1), "")
+        passage = F.concat(begins, F.regexp_extract(F.get("spelled", h["b"] - 1), _WORD, 0))
+        return F.when(h["a"] < 0, F.get("lines", h["first"])).otherwise(passage)
+
     return found.select(
         "doc_id", F.col("h.first").alias("paragraph"), F.element_at(F.array(*map(F.lit, model.families)), F.col("h.best")).alias("family"),
         (-F.col("h.unsure")).alias("probability"), (-F.col("h.unlike")).alias("likeness"), text(F.col("h")).alias("paragraph_text"),
