@@ -141,3 +141,21 @@ def test_many_tiles_are_sent_on_the_way(spark, monkeypatch):
     monkeypatch.setattr(states, "MOST_HELD", 3)
     array = generator.incrementing(spark, (9, 9))
     assert rows(states.state_agg(ArrayFrame.of(array.df, array.dims), (2, 2), "median")) == rows(tiles.tile_agg(array, (2, 2)))
+
+
+def test_tiles_are_gathered_before_states_are_made(spark):
+    """A tile's cells that lie all over a task make one state, and merging takes a group for many tiles: the work follows the cells, not tiles times batches."""
+    df = spark.range(60_000).selectExpr("CAST(id * 7919 % 60000 AS INT) AS d0", "CAST(0 AS INT) AS d1", "IF(id % 11 = 0, NULL, IF(id % 13 = 0, double('NaN'), id % 5)) AS value").coalesce(1)
+    array = ArrayFrame.of(df, ["d0", "d1"])
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(Mode):
+        def add_runs(self, values, ends):
+            calls.add(len(ends))
+            return super().add_runs(values, ends)
+
+    found = states.state_agg(array, (100, 1), Counted())
+    want = array.df.where("value IS NOT NULL").groupBy(F.expr("d0 div 100").cast("int").alias("g0"), "value").count()
+    want = {r["g0"]: str(r["v"]) for r in want.groupBy("g0").agg(F.min(F.struct((-F.col("count")).alias("n"), "value"))["value"].alias("v")).collect()}
+    assert {r["g0"]: str(r["result"]) for r in found.collect()} == want and found.where("n_cells = 100 AND is_complete").count() == 600
+    assert calls.value == 600

@@ -16,6 +16,7 @@ places are absent cells, unless `null_cells` says that they are cells. NaN is th
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator, Sequence
@@ -35,6 +36,10 @@ from .model import ArrayFrame
 
 #: Tiles whose states a task holds at a time; then it sends all of them.
 MOST_HELD = 50_000
+#: Cells that a task puts in order by tile at once: the more, the fewer pieces a tile comes in.
+CELLS = 1 << 20
+#: States, and cells behind them, that are merged in a group, about: tiles aren't cut.
+GROUP_STATES, GROUP_CELLS = 1 << 14, 1 << 20
 
 
 class Operator:
@@ -51,9 +56,17 @@ class Operator:
         """The state with some more values, which are at least one and have no nulls."""
         raise NotImplementedError
 
+    def add_runs(self, values: np.ndarray, ends: np.ndarray) -> list:
+        """A state for each run of values, which are those up to `ends`; runs aren't empty."""
+        return [self.add(self.init(), values[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
     def merge(self, one, other):
         raise NotImplementedError
 
+    def merge_all(self, states: list):
+        """The state of one or more states."""
+        return functools.reduce(self.merge, states)
+
     def is_full(self, n_cells: int, expected: int | None) -> bool:
         """Whether no cell can follow: the tile has as many as the array has there."""
         return expected is not None and n_cells >= expected
@@ -196,6 +209,13 @@ class _Held:
         columns = [*(pa.array(k.astype(np.int32)) for k in keys), pa.nulls(n, self.kinds[self.dims]), pa.array(results, self.kinds[self.dims + 1]), pa.array(n_cells, pa.int64()), pa.array(np.ones(n, bool))]
         return pa.RecordBatch.from_arrays(columns, names=self.names)
 
+    def take(self, key: tuple, state, n_cells: int) -> None:
+        """A state of some cells of a tile, None if there is no value among them, and the cells' number."""
+        own = self.states.setdefault(key, [self.op.init(), 0, False])
+        if state is not None:
+            own[0], own[2] = self.op.merge(own[0], state) if own[2] else state, True
+        own[1] += n_cells
+
     def add(self, key: tuple, values: np.ndarray, n_cells: int) -> None:
         """Some cells of a tile: the values among them, and their number."""
         own = self.states.setdefault(key, [self.op.init(), 0, False])
@@ -229,19 +249,39 @@ def _finished(said: DataFrame, layout: _Layout) -> DataFrame:
     keys = layout.names[:dims]
 
     def merged(table: pa.Table) -> pa.Table:
-        states = table.column("state").combine_chunks().drop_null()
-        state = None
-        for one in op.unpack(states) if len(states) else ():
-            state = one if state is None else op.merge(state, one)
-        columns = {k: table.column(k).slice(0, 1) for k in keys}
-        answer = pa.array([None if state is None else op.final(state)], kind)
-        return pa.table({**columns, "result": answer, "n_cells": pa.array([sum(table.column("n_cells").to_pylist())], pa.int64())})
-
-    rest = read.where("NOT final").groupBy(*keys).applyInArrow(merged, ", ".join(f"{k} int" for k in keys) + f", result {layout.result}, n_cells long")
+        own = np.stack([table.column(k).to_numpy() for k in keys])
+        order = np.lexsort(own[::-1])
+        own = own[:, order]
+        heads = np.flatnonzero(np.concatenate([[True], (own[:, 1:] != own[:, :-1]).any(axis=0)]))
+        column = table.column("state").combine_chunks().take(pa.array(order))
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        states = iter(op.unpack(pa.concat_arrays([column.drop_null()])) if there.any() else ())
+        some = [list(itertools.islice(states, n)) for n in np.add.reduceat(there.astype(np.int64), heads).tolist()]
+        answer = pa.array([op.final(op.merge_all(x)) if x else None for x in some], kind)
+        n_cells = np.add.reduceat(table.column("n_cells").to_numpy()[order], heads)
+        return pa.table({**{k: pa.array(x.astype(np.int32)) for k, x in zip(keys, own[:, heads])}, "result": answer, "n_cells": pa.array(n_cells, pa.int64())})
+
+    # a group of Spark's costs about a millisecond, so a group is several tiles: as many as a task may well hold the cells of
+    sent, cells = read.where("NOT final").agg(F.count(F.lit(1)), F.sum("n_cells")).first()
+    groups = max(1, math.ceil(max((cells or 0) / GROUP_CELLS, sent / GROUP_STATES)))
+    dealt = read.where("NOT final").select(*keys, "state", "n_cells").groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"))
+    rest = dealt.applyInArrow(merged, ", ".join(f"{k} int" for k in keys) + f", result {layout.result}, n_cells long")
     out = read.where("final").select(*keys, "result", "n_cells").union(rest)
     return out.withColumn("is_complete", F.col("n_cells") >= F.lit(math.prod(layout.tile)))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of about `CELLS` rows at a time."""
+    some, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            some.append(batch)
+            n += batch.num_rows
+        if some and (batch is None or n >= CELLS):
+            yield [pa.concat_arrays(c.chunks) for c in pa.Table.from_batches(some).columns]
+            some, n = [], 0
+
+
 def state_agg(array: ArrayFrame, tile: Sequence[int], op: str | Operator) -> DataFrame:
     """A row for each tile, as `tiles.tile_agg`, by an operator with states: each task merges what it has of a tile. If the array's shape
     is known, each cell must be there once at most: tiles that a task has whole aren't sent on."""
@@ -250,18 +290,18 @@ def state_agg(array: ArrayFrame, tile: Sequence[int], op: str | Operator) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(layout)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:dims]])
+        for columns in _gathered(batches):
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:dims]])
             order = np.lexsort(keys[::-1])
             keys = keys[:, order]
             heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-            column = batch.column(dims)
+            column = columns[dims]
             valid = column.is_valid().to_numpy(zero_copy_only=False)[order]
-            values = column.fill_null(0).to_numpy(zero_copy_only=False)[order]
-            for a, b in zip(heads, np.append(heads[1:], len(order))):
-                held.add(tuple(keys[:, a].tolist()), values[a:b][valid[a:b]], int(b - a))
+            values = column.fill_null(0).to_numpy(zero_copy_only=False)[order][valid]
+            n_cells, n_values = np.diff(heads, append=len(order)), np.add.reduceat(valid.astype(np.int64), heads)
+            states = iter(held.op.add_runs(values, np.cumsum(n_values[n_values > 0])) if len(values) else ())
+            for key, n, some in zip(keys[:, heads].T.tolist(), n_cells.tolist(), n_values.tolist()):
+                held.take(tuple(key), next(states) if some else None, n)
             if len(held.states) > MOST_HELD:
                 yield from held.send(only_full=False)
         yield from held.send(only_full=False)

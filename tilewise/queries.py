@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,27 +387,57 @@ def tile_averages_through_the_sink(spark, sf_dir):
 
 
 class Mode(states.Operator):
-    """The most frequent value, of equally frequent ones the smallest: an operator of a user's own."""
+    """The most frequent value, of equally frequent ones the smallest: an operator of a user's own. Its state is two arrays, the distinct values in
+    order and how often each is there."""
 
     def types(self, kind):
         return f"array<struct<v:{kind},n:bigint>>", kind
 
     def init(self):
-        return []
+        return np.zeros(0, np.int8), np.zeros(0, np.int64)
 
     def add(self, state, values):
-        import numpy as np
-
-        return self.merge(state, [{"v": v, "n": n} for v, n in zip(*(x.tolist() for x in np.unique(values, return_counts=True)))])
+        own = np.unique(values, return_counts=True)
+        return self.merge(state, own) if len(state[0]) else own
+
+    def add_runs(self, values, ends):
+        if values.dtype == object:
+            return super().add_runs(values, ends)
+        run = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        order = np.lexsort((values, run))
+        v, run = values[order], run[order]
+        same = (v[1:] == v[:-1]) | ((v[1:] != v[1:]) & (v[:-1] != v[:-1]))  # NaN is one value
+        heads = np.flatnonzero(np.concatenate([[True], ~same | (run[1:] != run[:-1])]))
+        v, n, cuts = v[heads], np.diff(heads, append=len(v)), np.searchsorted(heads, ends).tolist()
+        return [(v[a:b], n[a:b]) for a, b in zip([0, *cuts[:-1]], cuts)]
 
     def merge(self, one, other):
-        counts = {x["v"]: x["n"] for x in one}
-        for x in other:
-            counts[x["v"]] = counts.get(x["v"], 0) + x["n"]
-        return [{"v": v, "n": n} for v, n in counts.items()]
+        return self.merge_all([one, other])
+
+    def merge_all(self, some):
+        if len(some) == 1:
+            return some[0]
+        v, at = np.unique(np.concatenate([v for v, _ in some if len(v)]), return_inverse=True)
+        n = np.zeros(len(v), np.int64)
+        np.add.at(n, at, np.concatenate([n for v, n in some if len(v)]))
+        return v, n
 
     def final(self, state):
-        return min(state, key=lambda x: (-x["n"], x["v"]))["v"]
+        v, n = state
+        first = v[n.argmax()]  # of the largest the first, which is the smallest value
+        return first.item() if hasattr(first, "item") else first
+
+    def pack(self, some, kind):
+        ends = np.cumsum([0, *(len(v) for v, _ in some)])
+        v = np.concatenate([v for v, _ in some if len(v)] or [np.zeros(0)])
+        n = np.concatenate([n for _, n in some])
+        v = pa.array(v, kind.value_type.field("v").type)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([v, pa.array(n, pa.int64())], fields=list(kind.value_type)))
+
+    def unpack(self, column):
+        ends, flat = column.offsets.to_numpy(), column.values
+        v, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        return [(v[a:b], n[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @query("""SELECT g0, g1, v AS result, t::BIGINT AS n_cells, t >= 200 AS is_complete FROM (
