@@ -80,3 +80,16 @@ def test_slabs_of_a_stream(spark, tmp_path):
     cells = scan_stream(spark, f"file://{tmp_path}", variable="windspeed1", maxPartitionBytes=1024)
     _, found = run(cells, tmp_path, "b")
     assert found == sorted(((t, x, t * 500 + x) for t in range(2) for x in range(500)), key=str)
+
+
+def test_neighbouring_tiles_share_a_state(spark, tmp_path):
+    """Small tiles that wait for cells are few states, whatever their number; each comes out in the batch that completes it."""
+    cells = spark.range(160 * 40).selectExpr("CAST(id div 40 AS INT) AS d0", "CAST(id % 40 AS INT) AS d1", "IF(id % 7 = 0, NULL, id * 31 % 101 / 4) AS value")
+    for part in ("d0 % 4 < 2", "d0 % 4 = 3", "d0 % 4 = 2"):
+        cells.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query, found = run(early_medians(stream, ["d0", "d1"], (160, 40), (4, 4)), tmp_path)
+    states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    want = tiles.tile_agg(ArrayFrame.of(cells, ["d0", "d1"]), (4, 4)).drop("is_complete")
+    assert list(map(str, found)) == sorted(map(str, map(tuple, want.collect()))) and len(found) == 400
+    assert 0 < max(states) < 20

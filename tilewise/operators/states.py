@@ -270,7 +270,7 @@ def _finished(said: DataFrame, layout: _Layout) -> DataFrame:
     return out.withColumn("is_complete", F.col("n_cells") >= F.lit(math.prod(layout.tile)))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     """The columns of about `CELLS` rows at a time."""
     some, n = [], 0
     for batch in itertools.chain(batches, [None]):
@@ -290,7 +290,7 @@ def state_agg(array: ArrayFrame, tile: Sequence[int], op: str | Operator) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(layout)
-        for columns in _gathered(batches):
+        for columns in gathered(batches):
             keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:dims]])
             order = np.lexsort(keys[::-1])
             keys = keys[:, order]
